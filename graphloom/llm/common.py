@@ -1,63 +1,20 @@
-"""Helpers shared by the corpus operators: scratch tables and fixed hashing."""
+"""Helpers shared by the corpus operators: words, scratch tables and fixed hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from functools import cache
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.scratch import materialize, partitions
+
+__all__ = ["GAP", "SPACE", "WORD", "materialize", "mix64", "partitions", "type_of"]
 
 #: The six ASCII white-space characters that separate words and are stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"
-#: The same as a Java and RE2 character class: a word, and what separates words.
+#: As Java and RE2 character classes: a word, and what separates words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="graphloom-")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset, a temporary
-    folder in local mode and the warehouse on a cluster, never a machine's own folder."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        return f"file://{_local_root()}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_graphloom"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The tables are removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/graphloom-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM is gone: the cluster's own cleaning of the folder is left
-            return
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64 (xor-shift and multiply)."""
