@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import materialize, partitions
 
-__all__ = ["GAP", "SPACE", "WORD", "materialize", "mix64", "partitions", "type_of"]
+__all__ = ["GAP", "SPACE", "WORD", "materialize", "mix64", "partitions", "text_batches", "type_of"]
 
 #: The six ASCII white-space characters that separate words and are stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,6 +16,19 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have whole texts go to Python in batches of TEXT_ROWS: with the session's default of
+    10,000, buffers for one batch of long documents fill a worker's memory. The setting stays
+    for the session, as plans read it when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64 (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(33))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, mix64, type_of
+from .common import SPACE, materialize, mix64, text_batches, type_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -123,6 +123,7 @@ def _keys(text: str | None, min_chars: int) -> set[bytes]:
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS, filters: dict[int, bytes] | None = None) -> DataFrame:
     """(h1, h2, doc_id): the long lines of each row, each key once a row; with filters, only
     those that the filters let through."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,6 +198,7 @@ class LineIndex:
 
 def dedup(docs: DataFrame, index: LineIndex) -> DataFrame:
     """docs with text replaced by what is kept, and the added columns n_lines, n_dropped."""
+    text_batches(docs.sparkSession)
     names, min_chars = docs.columns, index.min_chars
     drops = index.drops().select(F.col("doc_id").alias("__id"), F.transform("keys", lambda k: k["h1"]).alias("__h1"), F.transform("keys", lambda k: k["h2"]).alias("__h2"))
     joined = docs.join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")

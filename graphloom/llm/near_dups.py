@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, type_of
+from .common import materialize, mix64, text_batches, type_of
 from .components import connected_components
 
 ROWS, BANDS = 6, 56
@@ -90,6 +90,7 @@ def bands(coordinates: np.ndarray, rows: int, n_bands: int) -> np.ndarray:
 def signatures(docs: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """doc_id, n (size of the set), h1, h2 (digest of the set), bands."""
 
+    text_batches(docs.sparkSession)
     def chunk(ids: list, texts: list) -> pd.DataFrame:
         sets = [shingles(t, width) for t in texts]
         h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
@@ -111,6 +112,7 @@ def signatures(docs: DataFrame, width: int, rows: int = ROWS, n_bands: int = BAN
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. texts: id, text."""
+    text_batches(texts.sparkSession)
     kind = type_of(texts, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, type_of
+from .common import materialize, partitions, text_batches, type_of
 
 CAPACITY = 2048
 #: Lengths above this share of the capacity are large.
@@ -86,6 +86,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32."""
+    text_batches(docs.sparkSession)
     paths = paths or default_paths()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

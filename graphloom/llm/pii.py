@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 5
@@ -120,6 +120,7 @@ def near_entities(text: str, window: int = WINDOW) -> tuple[set[int], set[tuple[
 
 def fit(docs: DataFrame, window: int = WINDOW, min_together: int = MIN_TOGETHER, threshold: float = THRESHOLD) -> DataFrame:
     """term: the hashes of the disclosing terms, a written table."""
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, text_batches
 from .fingerprints import _in, bloom
 
 ORDER = 5
@@ -71,6 +71,7 @@ def _points(text: str) -> np.ndarray:
 def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """g, c: the n-grams of the highest order; c is summed before it is shuffled."""
 
+    text_batches(texts.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for pdf in batches:
@@ -206,6 +207,7 @@ def _perplexity(model: Model, texts: list[str]) -> np.ndarray:
 
 def score(docs: DataFrame, table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, lang, perplexity (null without a model). table: of train()."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     n = table.count()
     if n <= max_rows:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import mix64, text_batches
 
 BITS = 20
 TRAIN_ROWS = 6000
@@ -89,6 +89,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 3.0, beta: float = 1
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """labels: doc_id, toxic; docs: doc_id, text."""
+    text_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     some = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(train_rows) for y in (0, 1)]
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the probability of a toxic text as an added column."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
