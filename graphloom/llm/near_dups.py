@@ -8,10 +8,15 @@ of their Jaccard similarity, and sketching n shingles costs about n + t log t ha
 Banding: BANDS bands of ROWS coordinates. A pair at similarity 0.8 shares no band with a
 probability of (1 - 0.8^6)^56, about 4e-8.
 
-Equal sets are one class, represented by its smallest doc_id. In every bucket the members
-are compared with the smallest, then those still in other components with the largest, and
-what even then lies in different components of a bucket pair by pair; pairs inside a
-component are never made. Every link is confirmed on the full sets of the texts.
+Equal sets are one class, represented by its smallest doc_id. Every member of a bucket is
+compared with the bucket's hub, its most central member (the one that shares most buckets
+with others), and the links make components. A pair x, y of a bucket that is still apart can
+only be linked if their differences from the hub h overlap: with D = set ^ h, x ^ y = Dx ^ Dy, and
+a link needs |x ^ y| <= (|x| + |y|) / 9, so |Dx & Dy| >= o = (|Dx| + |Dy| - (|x| + |y|) / 9) / 2. (o is above 0,
+as one of the two is not linked to h.) Hence their first common shingle, those outside the
+hub first, has at least o shingles from it on in Dx and in Dy. Pairs come from a join on
+these short prefixes, not from the bucket; no link is lost, and pairs inside a component or
+a loose group are not made. Every link is confirmed on the full sets of the texts.
 
 Defined results: a text of fewer words than a shingle is one shingle; a text without words
 (null, empty, white space) has no shingles and no links; rows with a null doc_id take no
@@ -110,75 +115,66 @@ def signatures(docs: DataFrame, width: int, rows: int = ROWS, n_bands: int = BAN
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {type_of(docs, 'doc_id')}, n long, h1 long, h2 long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: id, text."""
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+    """a, b, linked, and of a's difference from b: d its size, na, nb the sizes of the sets, prefix as
+    many of its shingles as a link could need, those that b lacks first. texts: id, text."""
     text_batches(texts.sparkSession)
     kind = type_of(texts, "id")
+    share = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
         for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            for k, (b, ta, tb) in enumerate(zip(pdf["b"], pdf["ta"], pdf["tb"], strict=True)):
+            out = []
+            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
                 if last != (b, tb):
                     last, own = (b, tb), shingles(tb, width)
                 other = shingles(ta, width)
-                if not len(own) or not len(other):
-                    continue
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                both = int((own[at] == other).sum())
-                keep[k] = 100 * both >= percent * (len(own) + len(other) - both)
-            yield pdf.loc[keep, ["a", "b"]]
+                held = own[at] == other
+                both = int(held.sum())
+                lost = np.ones(len(own), dtype=bool)
+                lost[at[held]] = False
+                most = int(share * len(other) * (1 + 100 / percent)) + 2
+                prefix = np.concatenate([other[~held], own[lost]])[:most].view(np.int64)
+                n = len(own) + len(other)
+                out.append((a, b, 100 * both >= percent * (n - both), n - 2 * both, len(other), len(own), prefix))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "d", "na", "nb", "prefix"])
 
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, linked boolean, d long, na long, nb long, prefix array<long>")
 
 
-def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
+def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes h1, h2, rep; components id, component of those
-    representatives that have links, or None. sig: a written table of signatures()."""
+    representatives that have links. sig: a written table of signatures()."""
     here = sig.filter("doc_id is not null and n > 0")
     classes = here.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = here.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", "bands"))
-    members = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    buckets = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).filter("low.rep <> high.rep")
-    shared = materialize(members.join(buckets, "key"))
-    ids = shared.select(F.col("rep").alias("id")).distinct()
+    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "bands"))
+    members = reps.select(F.explode("bands").alias("key"), "rep")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(members.join(sizes, "key"))
+    central = shared.groupBy("rep").agg(F.sum("size").alias("shared"))
+    hubs = shared.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shared", "rep")).alias("hub"))
+    pairs = materialize(shared.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     whole = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     texts = materialize(whole.join(ids, "id"))
-    sizes = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    done: DataFrame | None = None
-    links: DataFrame | None = None
-    found: DataFrame | None = None
-    for step in ("low", "high", "rest"):
-        open_ = shared
-        if found is not None:
-            label = found.select(F.col("id").alias("rep"), "component")
-            open_ = shared.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            apart = open_.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-            open_ = materialize(open_.join(apart, "key"))
-        if step == "rest":
-            if found is None:
-                other = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("m"))
-                pairs = open_.join(other, "key").filter("rep < b")
-            else:
-                other = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-                pairs = open_.join(other, "key").filter("component < c")
-        else:
-            pairs = open_.select("*", F.col(f"{step}.rep").alias("b"), F.col(f"{step}.n").alias("m"))
-        pairs = pairs.filter(sizes).filter("rep <> b").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            continue
-        done = pairs if done is None else done.union(pairs)
-        more = materialize(verify(pairs, texts, width, percent))
-        if more.isEmpty():
-            continue
-        links = more if links is None else links.union(more)
-        found = materialize(connected_components(links))
+    star = materialize(compare(pairs, texts, width, percent))
+    links = star.filter("linked").select("a", "b")
+    found = materialize(connected_components(links))
+    label = found.select(F.col("id").alias("a"), "component")
+    apart = star.select("a", "b", "d", "na", "prefix").join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    loose = apart.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("b")
+    tokens = apart.join(loose, "b").select("b", "a", "d", "na", "component", F.posexplode("prefix").alias("pos", "token"))
+    other = tokens.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("na").alias("ny"), F.col("component").alias("cy"), F.col("pos").alias("py"))
+    least = f"{100 + percent} * (d + dy) - {100 - percent} * (na + ny)"
+    near = f"component < cy and 2 * {100 + percent} * (d - pos) >= {least} and 2 * {100 + percent} * (dy - py) >= {least} and 100 * least(na, ny) >= {percent} * greatest(na, ny)"
+    more = materialize(tokens.join(other, ["b", "token"]).filter(near).select("a", F.col("y").alias("b")).distinct())
+    late = materialize(compare(more, texts, width, percent).filter("linked").select("a", "b"))
+    if not late.isEmpty():
+        found = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late)))
     return classes, found
 
 
@@ -186,8 +182,7 @@ def components(docs: DataFrame, width: int = 5, rows: int = ROWS, n_bands: int =
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     sig = materialize(signatures(docs, width, rows, n_bands))
     classes, found = near_links(docs, sig, width, rows, n_bands, percent)
-    if found is not None:
-        classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     out = sig.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
