@@ -2,9 +2,9 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: a term is kept
 if at least LOW and at most HIGH of all documents (and two documents) hold it. A document's
-distinct lexicon terms are sorted and hashed once for each of 40 random subsets of the
-lexicon: 8 draws at each of the rates 1/4, 1/16, 1/64, 1/256 and 1/1024, so that short and long
-documents both have subsets that hold a few of their terms. A fingerprint is the 40 hashes;
+distinct lexicon terms are sorted and hashed once for each of 60 random subsets of the
+lexicon: 12 draws at each of the rates 1/4, 1/16, 1/64, 1/256 and 1/1024, so that short and long
+documents both have subsets that hold a few of their terms. A fingerprint is the 60 hashes;
 likeness is the share of equal hashes among the subsets that hold a term of either document.
 
 At most (mean distinct terms of a document) / LOW terms can reach the band's lower end, however
@@ -23,6 +23,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ from .common import GAP, materialize, partitions
 LOW, HIGH = 1 / 2000, 1 / 10
 FILTER_BITS = 23
 #: Rates 2^-r of the subsets, and how many draws at each; a draw has ten bits of a hash of
-#: its own, four draws to a hash.
-RATES, DRAWS, PER_HASH = (2, 4, 6, 8, 10), 8, 4
+#: its own, six draws to a hash.
+RATES, DRAWS, PER_HASH = (2, 4, 6, 8, 10), 12, 6
 EMPTY = "0" * 8
 
 
@@ -94,17 +96,20 @@ def likeness(a: str, b: str) -> Column:
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """rows with next_<column> of the row after it by id_col, the first after the last.
 
-    Rows are dealt to ranges whose bounds are ids (about as many as there are partitions); the
-    first rows of a range also go, marked, to the range before it, so one shuffle by range is
+    Rows are dealt to ranges whose bounds are ids (four for each partition), found by a look-up in two
+    steps of about the square root of their number; the first rows of a range also go, marked, to the range before it, so one shuffle by range is
     all and no window spans the table."""
     p = partitions(rows.sparkSession)
     key = F.xxhash64(F.col(id_col)) if rows.schema[id_col].dataType.typeName() == "string" else F.col(id_col)
-    quantiles = [i / (2 * p) for i in range(1, 2 * p)]
-    found = rows.select(key.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", quantiles, 1000 + 20 * p).alias("q")).first()
-    # at most 2 * partitions ids; the lowest range also has the null ids
+    quantiles = [i / (4 * p) for i in range(1, 4 * p)]
+    found = rows.select(key.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", quantiles, 1000 + 40 * p).alias("q")).first()
+    # at most 4 * partitions ids; the lowest range also has the null ids
     starts = sorted({found["least"], *(found["q"] or [])} - {None})[1:]
     bounds = F.array(*map(F.lit, starts)) if starts else F.array().cast("array<long>")
-    at = F.size(F.filter(bounds, lambda b: b <= F.col("__key")))
+    step = max(1, math.isqrt(len(starts)))
+    coarse = F.array(*map(F.lit, starts[step - 1 :: step])) if starts else F.array().cast("array<long>")
+    before = F.size(F.filter(coarse, lambda b: b <= F.col("__key"))) * step
+    at = before + F.size(F.filter(F.slice(bounds, before + 1, F.lit(step)), lambda b: b <= F.col("__key")))
     out = rows.withColumn("__key", key).withColumn("__range", F.when(F.col("__key").isNull(), 0).otherwise(at))
     first = F.lit(False)
     if starts:
