@@ -66,6 +66,14 @@ def _in(filter_col: str, bits: int) -> str:
     return " and ".join(probe.format(f=filter_col, s=s) for s in (f"(t & {(1 << bits) - 1})", f"shiftrightunsigned(t, {64 - bits})"))
 
 
+def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not in ids (one column of that name), ahead of an
+    exact join: a Bloom filter of 16 bits an id, 2^27 bits (16 MB) at most. ids: a written table."""
+    bits = min(27, max(12, math.ceil(math.log2(16 * max(1, ids.count())))))
+    held = bloom(ids.select(F.xxhash64(key).alias("term")), bits)
+    return rows.withColumn("t", F.xxhash64(key)).withColumn("__f", held).filter(F.expr(_in("__f", bits))).drop("t", "__f")
+
+
 def fingerprint(df: DataFrame, text: str, lex_filter: Column, name: str, bits: int = FILTER_BITS) -> DataFrame:
     """df with the fingerprint of the column text as the added column name."""
     out = df.withColumn("__all", F.expr(terms(f"`{text}`"))).withColumn("__lex", lex_filter)

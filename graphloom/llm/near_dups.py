@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, text_batches, type_of
 from .components import connected_components
+from .fingerprints import only
 
 ROWS, BANDS = 6, 56
 #: Links have 100 * intersection >= PERCENT * union.
@@ -154,13 +155,14 @@ def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "bands"))
     members = reps.select(F.explode("bands").alias("key"), "rep")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(members.join(sizes, "key"))
+    # as large as the input at any size: never worth a broadcast
+    shared = materialize(members.hint("merge").join(sizes, "key"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("shared"))
     hubs = shared.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shared", "rep")).alias("hub"))
     pairs = materialize(shared.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     whole = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(whole.join(ids, "id"))
+    texts = materialize(only(whole, "id", ids).hint("merge").join(ids, "id"))
     star = materialize(compare(pairs, texts, width, percent))
     links = star.filter("linked").select("a", "b")
     found = materialize(connected_components(links))

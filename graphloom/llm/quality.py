@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, text_batches
-from .fingerprints import _in, bloom
+from .fingerprints import only
 
 ORDER = 5
 QUANTILE = 0.995
@@ -43,10 +43,7 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang of the documents labelled quality = 1. A Bloom filter of their ids
     (16 MB at most) lets the scan drop the others before the exact join."""
     ids = materialize(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct())
-    bits = min(27, max(12, math.ceil(math.log2(16 * max(1, ids.count())))))
-    seen = bloom(ids.select(F.xxhash64("doc_id").alias("term")), bits)
-    rows = docs.select("doc_id", "text", "lang").withColumn("t", F.xxhash64("doc_id")).withColumn("__f", seen).filter(F.expr(_in("__f", bits))).drop("t", "__f")
-    return rows.join(ids, "doc_id", "left_semi")
+    return only(docs.select("doc_id", "text", "lang"), "doc_id", ids).join(ids, "doc_id", "left_semi")
 
 
 def _grams(text: str | None, order: int) -> list[str]:
