@@ -62,12 +62,21 @@ def _sign(own: Counter, t: float) -> list[str]:
     return out
 
 
-def matches(norm: Column, templates: dict[str, str], min_dice: float) -> Column:
-    """An array of (dice, name) of the units (lines and the whole) of a normalised text whose lines are kept."""
+def matches(rows: DataFrame, templates: dict[str, str], min_dice: float) -> DataFrame:
+    """doc_id, found from doc_id, x (the lower-cased text): an array of (dice, name) of the units
+    (lines and the whole) of the normalised text. Lines are only cut where a template is signed."""
     by_name = {n: Counter(bigrams(t)) for n, t in sorted(templates.items())}
-    lines = F.transform(F.split(norm, "\n"), lambda x: F.trim(x))
-    whole = F.trim(F.regexp_replace(norm, "[ \n]+", " "))
-    units = F.array_distinct(F.concat(lines, F.array(whole)))
+    rows = rows.withColumn("whole", F.trim(F.regexp_replace("x", "[^a-z0-9]+", " ")))
+    signs = {}
+    for i, own in enumerate(by_name.values()):
+        signs[f"s{i}"] = F.lit(False)
+        for b in _sign(own, min_dice):
+            signs[f"s{i}"] = signs[f"s{i}"] | F.col("whole").contains(b)
+    rows = rows.select("*", *[c.alias(n) for n, c in signs.items()])
+    signed = F.greatest(*map(F.col, signs), F.lit(False))
+    lines = F.transform(F.split(F.regexp_replace("x", "[^a-z0-9\n]+", " "), "\n"), lambda x: F.trim(x))
+    rows = rows.select("doc_id", *signs, F.when(signed, F.array_distinct(F.concat(lines, F.array("whole")))).otherwise(F.array().cast("array<string>")).alias("units"))
+    units = F.col("units")
 
     def size(u: Column) -> Column:
         return F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
@@ -94,17 +103,14 @@ def matches(norm: Column, templates: dict[str, str], min_dice: float) -> Column:
     for name, own in by_name.items():
         n = sum(own.values())
         found = F.array_max(F.transform(near(n), dice(own, n)))
-        signed = F.lit(False)
-        for b in _sign(own, min_dice):
-            signed = signed | whole.contains(b)
-        out.append(F.struct(F.when(signed, F.coalesce(found, F.lit(0.0))).otherwise(0.0).alias("dice"), F.lit(name).alias("name")))
-    return F.filter(F.array(*out), lambda m: m["dice"] >= min_dice)
+        out.append(F.struct(F.when(F.col(f"s{len(out)}"), F.coalesce(found, F.lit(0.0))).otherwise(0.0).alias("dice"), F.lit(name).alias("name")))
+    return rows.select("doc_id", F.filter(F.array(*out), lambda m: m["dice"] >= min_dice).alias("found"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
     """doc_id, license (the best match), dice, licenses (all, by name, comma-joined)."""
-    norm = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-z0-9\n]+", " ")
-    rows = docs.select("doc_id", norm.alias("norm")).select("doc_id", matches(F.col("norm"), templates, min_dice).alias("found"))
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = matches(docs.select("doc_id", text.alias("x")), templates, min_dice)
     best = F.expr("reduce(found, named_struct('dice', 0.0D, 'name', cast(null as string)), (a, m) -> if(m.dice > a.dice, m, a))")
     return rows.select("doc_id", best["name"].alias("license"), best["dice"].alias("dice"), F.array_join(F.transform("found", lambda m: m["name"]), ",").alias("licenses"))
 
