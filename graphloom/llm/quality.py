@@ -54,9 +54,14 @@ def _grams(text: str | None, order: int) -> list[str]:
 
 def _hash(points: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that end at each position from n - 1 on."""
-    h = np.full(len(points) - n + 1, n, dtype=np.uint64)
-    for j in range(n):
-        h = (h ^ points[j : len(points) - n + 1 + j]) * _ODD
+    return _fold([points[j : len(points) - n + 1 + j] for j in range(n)])
+
+
+def _fold(columns) -> np.ndarray:
+    """A hash of the code points in each row; columns holds the first ones, the second ones, and so on."""
+    h = np.full(len(columns[0]), len(columns), dtype=np.uint64)
+    for c in columns:
+        h = (h ^ c) * _ODD
         h ^= h >> np.uint64(29)
     return mix64(h)
 
@@ -154,22 +159,33 @@ class Table:
         return found, values
 
 
+def packed(table: DataFrame) -> pd.DataFrame:
+    """kind, n, hash, value of the rows of train(): 21 bytes each, hashed where they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["g"].str.len()
+            for n, own in pdf.groupby(sizes):
+                h = np.zeros(len(own), dtype=np.uint64)
+                if n:
+                    h = _fold(_points("".join(own["g"])).reshape(-1, int(n)).T)
+                yield pd.DataFrame({"kind": own["kind"], "n": np.int8(n), "hash": h.view(np.int64), "value": own["value"]})
+
+    rows = table.repartition("kind", F.pmod(F.xxhash64("g"), F.lit(16)))
+    return rows.mapInPandas(run, "kind string, n tinyint, hash long, value double").toArrow().to_pandas()
+
+
 class Model:
-    def __init__(self, rows: list[tuple[str, str, float]]):
-        self.order = max((len(g) for k, g, _ in rows if k == "p"), default=0)
-        self.uniform = next((v for k, _, v in rows if k == "u"), 0.0)
+    """The tables of all orders, from packed()."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.order = int(rows.loc[rows["kind"] == "p", "n"].max()) if (rows["kind"] == "p").any() else 0
+        self.uniform = float(rows.loc[rows["kind"] == "u", "value"].sum())
         self.p, self.b = {}, {0: 0.0}
         for kind, held in (("p", self.p), ("b", self.b)):
-            by: dict[int, list] = {}
-            for k, g, v in rows:
-                if k == kind:
-                    by.setdefault(len(g), []).append((g, v))
-            for n, own in by.items():
-                if n:
-                    keys = np.array([_hash(_points(g), n)[0] for g, _ in own], dtype=np.uint64)
-                    held[n] = Table(keys, np.array([v for _, v in own], dtype=np.float32))
-                else:
-                    held[n] = own[0][1]
+            for n, own in rows[rows["kind"] == kind].groupby("n"):
+                values = own["value"].to_numpy(dtype=np.float32)
+                held[int(n)] = Table(own["hash"].to_numpy().view(np.uint64), values) if n else float(values[0])
 
     def log_p(self, points: np.ndarray) -> np.ndarray:
         """Of each position from order - 1 on, given what stands before it."""
@@ -208,7 +224,7 @@ def score(docs: DataFrame, table: DataFrame, max_rows: int = MAX_ROWS) -> DataFr
     rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     n = table.count()
     if n <= max_rows:
-        held = docs.sparkSession.sparkContext.broadcast(_packed(table))
+        held = docs.sparkSession.sparkContext.broadcast(Model(packed(table)))
 
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = held.value
@@ -227,10 +243,6 @@ def score(docs: DataFrame, table: DataFrame, max_rows: int = MAX_ROWS) -> DataFr
     return _score_sharded(rows, table)
 
 
-def _packed(table: DataFrame) -> Model:
-    return Model([tuple(r) for r in table.collect()])
-
-
 def _score_sharded(rows: DataFrame, table: DataFrame) -> DataFrame:
     """The same by joins: distinct n-grams are resolved order by order, texts by their digest."""
     order = table.filter("kind = 'p'").agg(F.max(F.length("g"))).first()[0]
