@@ -93,9 +93,16 @@ def mix(docs: DataFrame, **kinds) -> DataFrame:
     key = ["doc_id", "source", "size"]
     rows = docs.withColumn("__size", word_count())
     sizes = materialize(rows.select("doc_id", F.col("source").cast("string").alias("source"), F.col("__size").alias("size")))
-    w = Window.partitionBy(*key).orderBy("finish")
-    copies = schedule(sizes, **kinds).withColumn("__k", F.row_number().over(w)).filter("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in key], "__k", F.col("finish").alias("__finish"), F.col("target").alias("__target"), F.col("source_size").alias("__all"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("__epoch"))
-    here = rows.withColumnRenamed("__size", "__words").withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", F.col("source").cast("string"), "__words").orderBy(F.xxhash64(*[c for c in names if not docs.schema[c].dataType.typeName() == "map"]))))
+    took = schedule(sizes, **kinds)
+    here, match = rows.withColumnRenamed("__size", "__words"), F.lit(True)
+    if not sizes.groupBy(*key).count().filter("count > 1").isEmpty():  # tell repeated rows apart
+        took = took.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("finish")))
+        own = F.xxhash64(*[c for c in names if docs.schema[c].dataType.typeName() != "map"])
+        here = here.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", F.col("source").cast("string"), "__words").orderBy(own)))
+        match = F.col("__place") == F.col("__k")
+    entries = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("__epoch")
+    more = ["__k"] if "__k" in took.columns else []
+    copies = took.filter("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in key], *more, F.col("finish").alias("__finish"), F.col("target").alias("__target"), F.col("source_size").alias("__all"), entries)
     at = F.col("__finish") + F.col("__epoch") * F.col("__all") / F.nullif(F.col("__target"), F.lit(0.0))
-    joined = here.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__place") == F.col("__k")))
+    joined = here.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & match)
     return joined.orderBy(at, "doc_id").select(*[F.col(f"`{c}`") for c in names])

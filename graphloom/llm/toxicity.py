@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import mix64, text_batches
 
 BITS = 20
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 EPOCHS = 3
 MIN_ROWS = 3
 _TOKEN = re.compile(r"[^\W_]+")
@@ -58,12 +58,15 @@ class Model:
         return w
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = EPOCHS, toxic_weight: float = 2.0, min_rows: int = MIN_ROWS) -> Model:
-    """FTRL-proximal; the last coordinate is the intercept, which L1 leaves alone. Coordinates
-    of fewer than min_rows rows have no weight; toxic rows count toxic_weight times."""
+def ftrl(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = EPOCHS, toxic_weight: float = 2.0, min_rows: int = MIN_ROWS) -> Model:
+    """FTRL-proximal over rows whose coordinates stand in flat, up to ends; the last coordinate
+    is the intercept, which L1 leaves alone. Coordinates of fewer than min_rows rows have
+    no weight; toxic rows count toxic_weight times."""
     size = 1 << BITS
-    often = np.bincount(np.concatenate([idx for idx, _ in rows]), minlength=size) >= min_rows
-    rows = [(idx[often[idx]], label) for idx, label in rows]
+    keep = (np.bincount(flat, minlength=size) >= min_rows)[flat]
+    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    flat = flat[keep]
+    starts = np.concatenate([[0], ends[:-1]])
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     cost = np.full(size + 1, l1)
     cost[size] = 0.0
@@ -74,8 +77,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 3.0, beta: float = 1
         return np.where(np.abs(zi) <= cost[i], 0.0, w)
 
     for _ in range(epochs):
-        for idx, label in rows:
-            i = np.append(idx, size)
+        for start, end, label in zip(starts, ends, labels, strict=True):
+            i = np.append(flat[start:end], size)
             w = weights(i)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - label
             g *= toxic_weight if label else 1.0
@@ -101,11 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [features(t).tobytes() for t in pdf["text"]]})
 
-    got = texts.mapInPandas(run, "doc_id string, toxic int, at binary").collect()
-    rows = sorted((xxhash.xxh3_64_intdigest(r["doc_id"]), r["doc_id"], r["toxic"], bytes(r["at"])) for r in got)
-    if len({r[2] for r in rows}) < 2:
-        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 35.0 if rows and rows[0][2] else -35.0)
-    return ftrl([(np.frombuffer(r[3], dtype=np.int32), r[2]) for r in rows])
+    # 64-bit order, label and coordinates of at most 2 * train_rows rows, as columns
+    got = texts.mapInPandas(run, "doc_id string, toxic int, at binary").select(order.alias("order"), "doc_id", "toxic", "at").toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    labels = got["toxic"].to_numpy()
+    if len({*labels.tolist()}) < 2:
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 35.0 if len(labels) and labels[0] else -35.0)
+    held = [x.as_buffer() for x in got["at"]]
+    ends = np.cumsum([len(x) // 4 for x in held])
+    return ftrl(np.frombuffer(b"".join(held), dtype=np.int32), ends, labels)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
