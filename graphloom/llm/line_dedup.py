@@ -184,7 +184,7 @@ class LineIndex:
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """ids: a table with a column doc_id."""
-        return LineIndex(materialize(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")), self.min_chars, self.min_docs)
+        return LineIndex(materialize(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")), self.min_chars, self.min_docs)
 
     def counts(self) -> DataFrame:
         """(h1, h2, n, keeper): the reference counts that reach the limit."""

@@ -251,8 +251,8 @@ def _score_sharded(rows: DataFrame, table: DataFrame) -> DataFrame:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                own = Counter(_grams(text, order))
-                yield pd.DataFrame({"key": key, "g": list(own), "n": list(own.values())})
+                if own := Counter(_grams(text, order)):
+                    yield pd.DataFrame({"key": [key] * len(own), "g": list(own), "n": list(own.values())})
 
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     keyed = rows.withColumn("key", key)
