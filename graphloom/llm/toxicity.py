@@ -104,8 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [features(t).tobytes() for t in pdf["text"]]})
 
-    # 64-bit order, label and coordinates of at most 2 * train_rows rows, as columns
-    got = texts.mapInPandas(run, "doc_id string, toxic int, at binary").select(order.alias("order"), "doc_id", "toxic", "at").toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    # label and coordinates of at most 2 * train_rows rows, as columns, in an order that is
+    # independent of the one that drew them: by that one, the smaller class would come last
+    shuffled = F.xxhash64("doc_id", F.lit("order"))
+    got = texts.mapInPandas(run, "doc_id string, toxic int, at binary").select(shuffled.alias("order"), "doc_id", "toxic", "at").toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
     labels = got["toxic"].to_numpy()
     if len({*labels.tolist()}) < 2:
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 35.0 if len(labels) and labels[0] else -35.0)
