@@ -14,7 +14,8 @@ with others), and the links make components. A pair x, y of a bucket that is sti
 only be linked if their differences from the hub h overlap: with D = set ^ h, x ^ y = Dx ^ Dy, and
 a link needs |x ^ y| <= (|x| + |y|) / 9, so |Dx & Dy| >= o = (|Dx| + |Dy| - (|x| + |y|) / 9) / 2. (o is above 0,
 as one of the two is not linked to h.) Hence their first common shingle, those outside the
-hub first, has at least o shingles from it on in Dx and in Dy. Pairs come from a join on
+hub first, has at least o shingles from it on in Dx and in Dy; and if either lacks fewer than o
+of the hub's shingles, it is one that the hub does not have, which is rare. Pairs come from a join on
 these short prefixes, not from the bucket; no link is lost, and pairs inside a component or
 a loose group are not made. Every link is confirmed on the full sets of the texts.
 
@@ -117,8 +118,9 @@ def signatures(docs: DataFrame, width: int, rows: int = ROWS, n_bands: int = BAN
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """a, b, linked, and of a's difference from b: d its size, na, nb the sizes of the sets, prefix as
-    many of its shingles as a link could need, those that b lacks first. texts: id, text."""
+    """a, b, linked, and of a's difference from b: d its size, new how much of it b lacks, na, nb the
+    sizes of the sets, prefix as many of its shingles as a link could need, the new ones
+    first. texts: id, text."""
     text_batches(texts.sparkSession)
     kind = type_of(texts, "id")
     share = (100 - percent) / (100 + percent)
@@ -137,13 +139,14 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCE
                 lost = np.ones(len(own), dtype=bool)
                 lost[at[held]] = False
                 most = int(share * len(other) * (1 + 100 / percent)) + 2
-                prefix = np.concatenate([other[~held], own[lost]])[:most].view(np.int64)
+                new = other[~held]
+                prefix = np.concatenate([new, own[lost]])[:most].view(np.int64)
                 n = len(own) + len(other)
-                out.append((a, b, 100 * both >= percent * (n - both), n - 2 * both, len(other), len(own), prefix))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "d", "na", "nb", "prefix"])
+                out.append((a, b, 100 * both >= percent * (n - both), n - 2 * both, len(new), len(other), len(own), prefix))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "d", "new", "na", "nb", "prefix"])
 
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, linked boolean, d long, na long, nb long, prefix array<long>")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, linked boolean, d long, new long, na long, nb long, prefix array<long>")
 
 
 def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -167,12 +170,13 @@ def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_
     links = star.filter("linked").select("a", "b")
     found = materialize(connected_components(links))
     label = found.select(F.col("id").alias("a"), "component")
-    apart = star.select("a", "b", "d", "na", "prefix").join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    apart = star.select("a", "b", "d", "new", "na", "prefix").join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
     loose = apart.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("b")
-    tokens = apart.join(loose, "b").select("b", "a", "d", "na", "component", F.posexplode("prefix").alias("pos", "token"))
-    other = tokens.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("na").alias("ny"), F.col("component").alias("cy"), F.col("pos").alias("py"))
+    tokens = apart.join(loose, "b").select("b", "a", "d", "new", "na", "component", F.posexplode("prefix").alias("pos", "token"))
+    other = tokens.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("new").alias("wy"), F.col("na").alias("ny"), F.col("component").alias("cy"), F.col("pos").alias("py"))
     least = f"{100 + percent} * (d + dy) - {100 - percent} * (na + ny)"
     near = f"component < cy and 2 * {100 + percent} * (d - pos) >= {least} and 2 * {100 + percent} * (dy - py) >= {least} and 100 * least(na, ny) >= {percent} * greatest(na, ny)"
+    near += f" and (pos < new or 2 * {100 + percent} * least(d - new, dy - wy) >= {least})"
     more = materialize(tokens.join(other, ["b", "token"]).filter(near).select("a", F.col("y").alias("b")).distinct())
     late = materialize(compare(more, texts, width, percent).filter("linked").select("a", "b"))
     if not late.isEmpty():
