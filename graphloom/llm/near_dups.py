@@ -13,11 +13,15 @@ compared with the bucket's hub, its most central member (the one that shares mos
 with others), and the links make components. A pair x, y of a bucket that is still apart can
 only be linked if their differences from the hub h overlap: with D = set ^ h, x ^ y = Dx ^ Dy, and
 a link needs |x ^ y| <= (|x| + |y|) / 9, so |Dx & Dy| >= o = (|Dx| + |Dy| - (|x| + |y|) / 9) / 2. (o is above 0,
-as one of the two is not linked to h.) Hence their first common shingle, those outside the
-hub first, has at least o shingles from it on in Dx and in Dy; and if either lacks fewer than o
-of the hub's shingles, it is one that the hub does not have, which is rare. Pairs come from a join on
-these short prefixes, not from the bucket; no link is lost, and pairs inside a component or
-a loose group are not made. Every link is confirmed on the full sets of the texts.
+as one of the two is not linked to h.) Hence their first common shingle, in any order of
+the group's shingles, has at least o shingles from it on in Dx and in Dy. The order has those
+outside the hub first, but last of all those that many differences hold: what a group shares and its
+hub lost to an edit would join all its members. The former are rare, and if either document has
+fewer than o others, the first common shingle is one of them. Pairs come from a join on
+these short prefixes, and share a bucket: a mask holds the bands in which a member meets the hub
+(h is the hub there, so two members meet each other wherever their masks do). No link of a
+bucket is lost, and pairs inside a component or a loose group are not made. Every link is confirmed
+on the full sets of the texts.
 
 Defined results: a text of fewer words than a shingle is one shingle; a text without words
 (null, empty, white space) has no shingles and no links; rows with a null doc_id take no
@@ -42,6 +46,8 @@ from .fingerprints import only
 ROWS, BANDS = 6, 56
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: A shingle is frequent in a group of hub and members if so many differences, and one in so many, hold it.
+OFTEN, ONE_IN = 32, 16
 #: Text that a worker sketches at once.
 CHUNK = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,9 +124,10 @@ def signatures(docs: DataFrame, width: int, rows: int = ROWS, n_bands: int = BAN
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """a, b, linked, and of a's difference from b: d its size, new how much of it b lacks, na, nb the
-    sizes of the sets, prefix as many of its shingles as a link could need, the new ones
-    first. texts: id, text."""
+    """a, b, mask, linked, and of a's difference from b: d its size, rare how many of its shingles b lacks
+    and often does not name, na, nb the sizes of the sets, prefix as many of its shingles as a link could
+    need, the rare ones first and those in often last. pairs: a, b, mask, often (null: none);
+    texts: id, text."""
     text_batches(texts.sparkSession)
     kind = type_of(texts, "id")
     share = (100 - percent) / (100 + percent)
@@ -129,7 +136,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCE
         last, own = None, None
         for pdf in batches:
             out = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+            for a, b, mask, often, ta, tb in zip(pdf["a"], pdf["b"], pdf["mask"], pdf["often"], pdf["ta"], pdf["tb"], strict=True):
                 if last != (b, tb):
                     last, own = (b, tb), shingles(tb, width)
                 other = shingles(ta, width)
@@ -139,46 +146,61 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCE
                 lost = np.ones(len(own), dtype=bool)
                 lost[at[held]] = False
                 most = int(share * len(other) * (1 + 100 / percent)) + 2
-                new = other[~held]
-                prefix = np.concatenate([new, own[lost]])[:most].view(np.int64)
+                new, rest = other[~held], own[lost]
+                if often is not None and len(often):
+                    late = np.asarray(often, dtype=np.int64).view(np.uint64)
+                    worn, gone = np.isin(new, late), np.isin(rest, late)
+                    new, rest = new[~worn], np.concatenate([rest[~gone], new[worn], rest[gone]])
+                prefix = np.concatenate([new, rest])[:most].view(np.int64)
                 n = len(own) + len(other)
-                out.append((a, b, 100 * both >= percent * (n - both), n - 2 * both, len(new), len(other), len(own), prefix))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "d", "new", "na", "nb", "prefix"])
+                out.append((a, b, mask, 100 * both >= percent * (n - both), n - 2 * both, len(new), len(other), len(own), prefix))
+            yield pd.DataFrame(out, columns=["a", "b", "mask", "linked", "d", "rare", "na", "nb", "prefix"])
 
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, linked boolean, d long, new long, na long, nb long, prefix array<long>")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "mask", "often", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, mask long, linked boolean, d long, rare long, na long, nb long, prefix array<long>")
 
 
 def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes h1, h2, rep; components id, component of those
     representatives that have links. sig: a written table of signatures()."""
+    if n_bands > 64:
+        raise ValueError("a mask has 64 bands")
     here = sig.filter("doc_id is not null and n > 0")
     classes = here.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = here.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "bands"))
-    members = reps.select(F.explode("bands").alias("key"), "rep")
+    members = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     # as large as the input at any size: never worth a broadcast
     shared = materialize(members.hint("merge").join(sizes, "key"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("shared"))
     hubs = shared.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shared", "rep")).alias("hub"))
-    pairs = materialize(shared.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    beside = shared.join(hubs, "key").filter("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    pairs = materialize(beside.agg(F.expr("bit_or(shiftleft(1L, band))").alias("mask")))
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     whole = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     texts = materialize(only(whole, "id", ids).hint("merge").join(ids, "id"))
-    star = materialize(compare(pairs, texts, width, percent))
+    none = F.lit(None).cast("array<long>").alias("often")
+    star = materialize(compare(pairs.select("*", none), texts, width, percent))
     links = star.filter("linked").select("a", "b")
     found = materialize(connected_components(links))
     label = found.select(F.col("id").alias("a"), "component")
-    apart = star.select("a", "b", "d", "new", "na", "prefix").join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    loose = apart.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("b")
-    tokens = apart.join(loose, "b").select("b", "a", "d", "new", "na", "component", F.posexplode("prefix").alias("pos", "token"))
-    other = tokens.select("b", "token", F.col("a").alias("y"), F.col("d").alias("dy"), F.col("new").alias("wy"), F.col("na").alias("ny"), F.col("component").alias("cy"), F.col("pos").alias("py"))
+    labelled = lambda df: df.select("a", "b", "mask", "d", "rare", "na", "prefix").join(label, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    apart = labelled(star)
+    loose = apart.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("b", "m")
+    apart = materialize(apart.join(loose, "b"))
+    counts = apart.filter(f"m >= {OFTEN}").select("b", "m", F.explode("prefix").alias("token")).groupBy("b", "m", "token").agg(F.count("*").alias("c"))
+    # at most ONE_IN mean prefixes of the group: of the order of a text
+    often = materialize(counts.filter(f"c >= {OFTEN} and {ONE_IN} * c >= m").groupBy("b").agg(F.collect_list("token").alias("often")))
+    again = materialize(compare(apart.select("a", "b", "mask").join(often, "b"), texts, width, percent))
+    apart = apart.drop("m").join(often.select("b"), "b", "left_anti").unionByName(labelled(again))
+    tokens = apart.select("b", "a", "mask", "d", "rare", "na", "component", F.posexplode("prefix").alias("pos", "token"))
+    other = tokens.select("b", "token", F.col("a").alias("y"), F.col("mask").alias("my"), F.col("d").alias("dy"), F.col("rare").alias("wy"), F.col("na").alias("ny"), F.col("component").alias("cy"), F.col("pos").alias("py"))
     least = f"{100 + percent} * (d + dy) - {100 - percent} * (na + ny)"
-    near = f"component < cy and 2 * {100 + percent} * (d - pos) >= {least} and 2 * {100 + percent} * (dy - py) >= {least} and 100 * least(na, ny) >= {percent} * greatest(na, ny)"
-    near += f" and (pos < new or 2 * {100 + percent} * least(d - new, dy - wy) >= {least})"
-    more = materialize(tokens.join(other, ["b", "token"]).filter(near).select("a", F.col("y").alias("b")).distinct())
-    late = materialize(compare(more, texts, width, percent).filter("linked").select("a", "b"))
+    near = f"component < cy and (mask & my) <> 0 and 2 * {100 + percent} * (d - pos) >= {least} and 2 * {100 + percent} * (dy - py) >= {least} and 100 * least(na, ny) >= {percent} * greatest(na, ny)"
+    near += f" and (pos < rare or 2 * {100 + percent} * least(d - rare, dy - wy) >= {least})"
+    more = materialize(tokens.join(other, ["b", "token"]).filter(near).select("a", F.col("y").alias("b"), F.lit(0).cast("long").alias("mask")).distinct())
+    late = materialize(compare(more.select("*", none), texts, width, percent).filter("linked").select("a", "b"))
     if not late.isEmpty():
         found = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late)))
     return classes, found

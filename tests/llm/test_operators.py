@@ -117,6 +117,29 @@ def test_near_dups_of_a_loose_group(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 2)
 
 
+def test_near_dups_of_a_group_whose_hub_was_edited(spark, monkeypatch):
+    """A shared passage with one edit in each document, and own words that keep most apart: the
+    hub's edit is in all differences from it. Some have a twin, which is no hub."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(150):
+        passage = [f"b{j}" for j in range(100)]
+        passage[rng.randrange(100)] = f"e{i}"
+        text = passage + [f"o{i}x{j}" for j in range(rng.choice([8, 14, 25]))]
+        rows.append((len(rows), " ".join(text), "s"))
+        if i % 10 == 0:
+            text[rng.randrange(100)] = "twin"
+            rows.append((len(rows), " ".join(text), "s"))
+    frequent, plain = [], near_dups.compare
+    monkeypatch.setattr(near_dups, "compare", lambda pairs, *more: frequent.append(pairs.filter("size(often) > 0").count()) or plain(pairs, *more))
+    for width in (2, 5):
+        got = near_dups.components(frame(spark, rows), width=width).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, width)
+    assert sum(frequent) > 0
+    with pytest.raises(ValueError, match="64"):
+        near_dups.components(frame(spark, rows[:2]), rows=2, n_bands=65)
+
+
 def test_sketch_agrees_as_jaccard():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (60, 20, 20))
