@@ -46,8 +46,8 @@ from .fingerprints import only
 ROWS, BANDS = 6, 56
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A shingle is frequent in a group of hub and members if so many differences, and one in so many, hold it.
-OFTEN, ONE_IN = 32, 16
+#: A shingle is frequent in a part of a group, of PART members at least, if so many differences, and one in so many, hold it.
+PART, OFTEN, ONE_IN = 32, 8, 16
 #: Text that a worker sketches at once.
 CHUNK = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +160,36 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = PERCE
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "mask", "often", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, mask long, linked boolean, d long, rare long, na long, nb long, prefix array<long>")
 
 
+def frequent(apart: DataFrame) -> DataFrame:
+    """b, often: the shingles that many of the differences from hub b hold. apart: a, b, m members
+    of the group, prefix. Parts of a group are counted where they lie, a large group in several tasks, and
+    only shingles frequent in a part leave it, so one may be missed: the order is as exact without it.
+    At most 2 * ONE_IN mean prefixes of the group, about eight sets of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, held = None, []
+
+        def counted() -> pd.DataFrame:
+            tokens, c = np.unique(np.concatenate(held), return_counts=True)
+            hit = c >= max(OFTEN, len(held) / ONE_IN)
+            return pd.DataFrame({"b": [hub] * int(hit.sum()), "token": tokens[hit], "c": c[hit]})
+
+        for pdf in batches:
+            for b, prefix in zip(pdf["b"], pdf["prefix"], strict=True):
+                if b != hub:
+                    if len(held) >= PART:
+                        yield counted()
+                    hub, held = b, []
+                held.append(np.asarray(prefix, dtype=np.int64))
+        if len(held) >= PART:
+            yield counted()
+
+    large = apart.filter(f"m >= {PART}")
+    dealt = large.select("a", "b", "prefix").repartitionByRange("b", F.xxhash64("a")).sortWithinPartitions("b").select("b", "prefix")
+    counts = dealt.mapInPandas(run, f"b {type_of(apart, 'b')}, token long, c long").groupBy("b", "token").agg(F.sum("c").alias("c"))
+    return counts.join(large.groupBy("b").agg(F.first("m").alias("m")), "b").filter(f"{2 * ONE_IN} * c >= m").groupBy("b").agg(F.collect_list("token").alias("often"))
+
+
 def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_bands: int = BANDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes h1, h2, rep; components id, component of those
     representatives that have links. sig: a written table of signatures()."""
@@ -189,9 +219,7 @@ def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_
     apart = labelled(star)
     loose = apart.groupBy("b").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("b", "m")
     apart = materialize(apart.join(loose, "b"))
-    counts = apart.filter(f"m >= {OFTEN}").select("b", "m", F.explode("prefix").alias("token")).groupBy("b", "m", "token").agg(F.count("*").alias("c"))
-    # at most ONE_IN mean prefixes of the group: of the order of a text
-    often = materialize(counts.filter(f"c >= {OFTEN} and {ONE_IN} * c >= m").groupBy("b").agg(F.collect_list("token").alias("often")))
+    often = materialize(frequent(apart))
     again = materialize(compare(apart.select("a", "b", "mask").join(often, "b"), texts, width, percent))
     apart = apart.drop("m").join(often.select("b"), "b", "left_anti").unionByName(labelled(again))
     tokens = apart.select("b", "a", "mask", "d", "rare", "na", "component", F.posexplode("prefix").alias("pos", "token"))
