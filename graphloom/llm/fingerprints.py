@@ -1,7 +1,10 @@
 """Document fingerprints after I-Match, in DataFrame functions only.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: a term is kept
-if at least LOW and at most HIGH of all documents (and two documents) hold it. A document's
+if at least LOW of all documents (and two documents) hold it, and at most HIGH of all copy
+classes, so that a group of copies, however large, cannot push its own words out. A row is of the
+class of the most frequent of its KEYS keys (least hashes of word trigrams) if SHARED of them are
+keys of LOW of all documents, and a class of its own otherwise. A document's
 distinct lexicon terms are sorted and hashed once for each of 60 random subsets of the
 lexicon: 12 draws at each of the rates 1/4, 1/16, 1/64, 1/256 and 1/1024, so that short and long
 documents both have subsets that hold a few of their terms. A fingerprint is the 60 hashes;
@@ -14,8 +17,9 @@ filter lets through by mistake is one more lexicon term, the same one in every d
 
 Terms are hashed before they are sorted; the order is that of their hashes.
 
-Defined results: a null text is the empty text; a text without lexicon terms is hashed over
-all its terms, the empty text over none, and two texts without any term have likeness 1;
+Defined results: a null text is the empty text; a text with fewer than FEW lexicon terms is hashed
+over those and, up to FEW in all, its other terms with the least hashes, so that one lexicon
+term more or less moves one other term; the empty text is hashed over none, and two texts without any term have likeness 1;
 rows with a null doc_id come first, rows that share one are ordered by text; the row after the last is the
 first, so a single row follows itself; an empty table gives an empty result; other columns
 are not read.
@@ -28,11 +32,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard
 from .common import GAP, materialize, partitions
 
 #: The band, as shares of all documents.
 LOW, HIGH = 1 / 2000, 1 / 10
 FILTER_BITS = 23
+#: Lexicon terms below which a document's other terms fill up.
+FEW = 8
+#: Keys of a row, by which copies are found, and how many of them must be frequent.
+KEYS, SHARED = 4, 2
 #: Rates 2^-r of the subsets, and how many draws at each; a draw has ten bits of a hash of
 #: its own, six draws to a hash.
 RATES, DRAWS, PER_HASH = (2, 4, 6, 8, 10), 12, 6
@@ -45,11 +54,39 @@ def terms(text: str) -> str:
     return f"sort_array(array_distinct(transform(filter(split(lower({text}), '{gap}'), w -> w <> ''), w -> xxhash64(w))))"
 
 
+def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The distinct terms and the keys k0, k1, ... of each row."""
+    gap = GAP.replace("\\", "\\\\")
+    words = f"transform(filter(split(lower(coalesce(cast(`{text_col}` as string), '')), '{gap}'), w -> w <> ''), w -> xxhash64(w))"
+    rows = docs.select(F.expr(words).alias("w")).select("w", F.expr("transform(w, (t, i) -> xxhash64(t, get(w, i + 1), get(w, i + 2)))").alias("g"))
+    return rows.select(F.array_distinct("w").alias("terms"), *[F.expr(f"array_min(filter(g, x -> x & {KEYS - 1} = {j}))").alias(f"k{j}") for j in range(KEYS)])
+
+
+def copy_classes(rows: DataFrame, n_docs: int, low: float = LOW) -> DataFrame:
+    """The terms of keyed() rows, and class: equal in the near copies of a group, null in a row that is
+    of no group of LOW of all documents. At most KEYS / LOW keys are frequent; they are broadcast."""
+    keys = [f"k{j}" for j in range(KEYS)]
+    often = rows.select(F.explode(F.array(*keys)).alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    often = materialize(often.filter((F.col("n") >= 2) & (F.col("n") >= low * n_docs)))
+    for j, k in enumerate(keys):
+        rows = rows.join(F.broadcast(often.select(F.col("k").alias(k), F.struct("n", "k").alias(f"n{j}"))), k, "left")
+    held = [f"n{j}" for j in range(KEYS)]
+    frequent = sum(F.col(h).isNotNull().cast("int") for h in held)
+    return rows.select("terms", F.when(frequent >= SHARED, F.greatest(*held)["k"]).alias("class"))
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term (its hash), n: the terms in the band. One aggregation with partial counts."""
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    held = docs.select(F.explode(F.expr(terms(f"cast(`{text_col}` as string)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return held.filter((F.col("n") >= 2) & (F.col("n") >= low * n_docs) & (F.col("n") <= high * n_docs))
+    """term (its hash), n: the terms in the band. Aggregations with partial counts; a null term
+    in each row counts the rows and classes."""
+    n_docs = docs.count()
+    written = materialize(keyed(docs, text_col))
+    rows = copy_classes(written, n_docs, low)
+    held = rows.select(F.explode(F.concat("terms", F.array(F.lit(None).cast("long")))).alias("term"), "class").groupBy("term", "class").agg(F.count("*").alias("n"))
+    held = held.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("class").isNull(), F.col("n")).otherwise(1)).alias("classes"))
+    held = materialize(held.filter(F.col("term").isNull() | (F.col("n") >= 2) & (F.col("n") >= low * n_docs)))
+    discard(written)
+    most = high * F.coalesce(held.filter("term is null").agg(F.max("classes").alias("n")).scalar(), F.lit(0))
+    return held.filter(F.col("term").isNotNull() & (F.col("classes") <= most)).select("term", "n")
 
 
 def bloom(lex: DataFrame, bits: int = FILTER_BITS) -> Column:
@@ -78,7 +115,10 @@ def fingerprint(df: DataFrame, text: str, lex_filter: Column, name: str, bits: i
     """df with the fingerprint of the column text as the added column name."""
     out = df.withColumn("__all", F.expr(terms(f"`{text}`"))).withColumn("__lex", lex_filter)
     out = out.withColumn("__in", F.expr(f"filter(__all, t -> {_in('__lex', bits)})")).drop("__lex")
-    out = out.withColumn("__in0", F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__all")))
+    # by a hash of their own, as draws take their bits from that of the term
+    others = "transform(array_sort(transform(array_except(__all, __in), t -> struct(xxhash64(t, -1) as o, t as t))), x -> x.t)"
+    filled = F.expr(f"sort_array(concat(__in, slice({others}, 1, {FEW} - size(__in))))")
+    out = out.withColumn("__in0", F.when(F.size("__in") < FEW, filled).otherwise(F.col("__in")))
     for i in range(1, DRAWS // PER_HASH):
         out = out.withColumn(f"__in{i}", F.expr(f"transform(__in0, t -> xxhash64(t, {i}))"))
     hashes = []

@@ -71,6 +71,35 @@ def test_fingerprints(spark, docs):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"just one rjust one r").hexdigest()
 
 
+def test_fingerprints_of_a_group_of_a_third_of_all_rows(spark):
+    """Near copies stay alike however many there are, and their words stay in the lexicon."""
+    rng = random.Random(8)
+    own = [f"v{i}" for i in range(6000)]
+    base = rng.choices(own, k=215)
+    rows = [(3 * i, " ".join(["the", "of", *rng.choices(own, k=80)]), "s") for i in range(400)]
+    for i in range(200):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(len(text))] = rng.choice(own)
+        rows.append((10000 + i, " ".join(text), "s"))
+    docs = frame(spark, rows)
+    held = {r["term"] for r in fingerprints.lexicon(docs).collect()}
+    hashes = dict(spark.createDataFrame([(w,) for w in [*sorted(set(base)), "the", "of"]], "w string").select("w", F.xxhash64("w")).collect())
+    assert hashes["the"] not in held and hashes["of"] not in held
+    assert sum(hashes[w] in held for w in set(base)) > 0.95 * len(set(base))
+    near = [r["near_next"] for r in fingerprints.compare_edits(docs).collect() if 10000 <= r["doc_id"] < 10199]
+    assert len(near) == 199 and sum(near) / len(near) > 0.5
+
+
+def test_fingerprints_with_few_lexicon_terms(spark):
+    """One lexicon term more or less does not change what else is hashed."""
+    words = [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, *own]), "s") for i, own in enumerate([["rare"], []] * 20)]
+    rare = spark.createDataFrame([("rare",)], "w string").select(F.xxhash64("w").alias("term"))
+    got = fingerprints.fingerprint(frame(spark, rows[:2]), "text", fingerprints.bloom(rare), "f").select("f").collect()
+    assert spark.range(1).select(fingerprints.likeness(*[f"'{r['f']}'" for r in got])).first()[0] > 0.2
+
+
 def plain_components(rows, width):
     sets = {}
     for k, (i, t, _) in enumerate(rows):
