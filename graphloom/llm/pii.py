@@ -1,13 +1,16 @@
 """PII by information-theoretic sanitisation.
 
 Base spans are direct identifiers, found by rule: e-mail addresses, IP addresses, card and
-phone numbers. They are the protected entities. Terms that stand near an entity may
+phone numbers. They are the protected entities. Terms that stand in an entity's documents may
 reveal it: for entity e and term t, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) is the information
-that t gives about e, out of IC(e) = log2(N / n(e)) in all. n(e,t) counts the documents that hold t
-within WINDOW words of e, n(t) and n(e) those that hold t and e at all, over the whole
-corpus. A term of at least MIN_TOGETHER such documents that gives THRESHOLD of an entity's
-information is disclosing; wherever it stands, it is a span of the kind "term", to be
-removed, and base spans are generalised to their kind.
+that t gives about e, out of IC(e) = log2(N / n(e)) in all. n(e,t) counts the documents that hold
+both, wherever in the text, n(t) and n(e) those that hold t and e at all, over the whole
+corpus. One document shows no tie, so n(e,t) is 2 or more; below FIRM the count is little evidence
+and PMI is smoothed: DOUBT of a document more is taken to hold t without e. A term that
+gives THRESHOLD of an entity's information is disclosing; wherever it stands, it is a span of the
+kind "term", to be removed, and base spans are generalised to their kind.
+
+Entities of a single document are dropped before pairs are made.
 
 Disclosing terms are broadcast as 64-bit hashes while there are at most MAX_TERMS (16 MB); beyond
 that, documents' terms are joined with them by shuffle. Both give the same spans.
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 5
-MIN_TOGETHER = 5
+MIN_TOGETHER = 2
+FIRM, DOUBT = 5, 0.5
 THRESHOLD = 0.9
 MAX_TERMS = 2_000_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -102,52 +105,43 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
     return out
 
 
-def near_entities(text: str, window: int = WINDOW) -> tuple[set[int], set[tuple[int, int]]]:
-    """Entities of a text, and its (entity, term) pairs within the window."""
-    spans = base_spans(text)
-    if not spans:
-        return set(), set()
-    terms = _terms(text, spans)
-    starts = np.array([m.start() for m in terms], dtype=np.int64)
-    entities, pairs = set(), set()
-    for start, kind, end in spans:
-        e = xxhash.xxh3_64_intdigest(f"{kind}:{text[start:end].lower()}".encode("utf-8", "surrogatepass"))
-        entities.add(e)
-        k = int(np.searchsorted(starts, start))
-        pairs.update((e, _hash(m[0])) for m in terms[max(0, k - window) : k + window])
-    return entities, pairs
-
-
-def fit(docs: DataFrame, window: int = WINDOW, min_together: int = MIN_TOGETHER, threshold: float = THRESHOLD) -> DataFrame:
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    """The hashes of a text's entities."""
+    return {xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")) for a, k, b in spans}
+
+
+def fit(docs: DataFrame, min_together: int = MIN_TOGETHER, threshold: float = THRESHOLD) -> DataFrame:
     """term: the hashes of the disclosing terms, a written table."""
     text_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[tuple[int, int, int]] = []
+            es, ts = [], []
             for text in pdf["text"]:
-                entities, near = near_entities(text or "", window)
-                out += [(0, e, 0) for e in entities]
-                out += [(1, e, t) for e, t in near]
-            a = np.array(out, dtype=np.uint64).reshape(-1, 3).view(np.int64)
-            yield pd.DataFrame({"pair": a[:, 0], "e": a[:, 1], "t": a[:, 2]})
-
-    counts = texts.mapInPandas(pairs, "pair long, e long, t long").groupBy("pair", "e", "t").agg(F.count("*").alias("n")).filter(F.col("n") >= min_together)
-    counts = materialize(counts)
-    both = counts.filter("pair = 1").select("e", "t", F.col("n").alias("n_et"))
-    entities = counts.filter("pair = 0").select("e", F.col("n").alias("n_e"))
+                if text and (spans := base_spans(text)):
+                    es.append(np.array(sorted(entities(text, spans)), dtype=np.uint64).view(np.int64))
+                    ts.append(np.array(sorted({_hash(m[0]) for m in _terms(text, spans)}), dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"e": pd.Series(es, dtype=object), "t": pd.Series(ts, dtype=object)})
+
+    # the documents that hold entities, numbered when they are written
+    own = materialize(texts.mapInPandas(found, "e array<long>, t array<long>").withColumn("r", F.monotonically_increasing_id()))
+    each = own.select("r", F.explode("e").alias("e"))
+    n_e = materialize(each.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_together))
+    shared = each.join(n_e, "e").groupBy("r").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))
+    both = own.select("r", "t").join(shared, "r").select(F.explode("es").alias("x"), "t").select("x.e", "x.n_e", F.explode("t").alias("t"))
+    both = materialize(both.groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_together))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [np.fromiter({_hash(w) for w in set(_TERM.findall(t or ""))}, dtype=np.uint64) for t in pdf["text"]]
-            t, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            terms = [np.fromiter({_hash(w) for w in set(_TERM.findall(t or ""))}, dtype=np.uint64) for t in pdf["text"]]
+            t, n = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_counts=True)
             yield pd.DataFrame({"t": t.view(np.int64), "n": n})
 
     n_docs = docs.count()
     frequency = texts.mapInPandas(held, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    rows = both.join(entities, "e").join(frequency, "t").withColumn("N", F.lit(n_docs))
-    information = F.expr("log2(N * double(n_et) / (double(n_e) * n_t))")
+    rows = both.join(frequency, "t").withColumn("N", F.lit(n_docs))
+    information = F.expr(f"log2(N * double(n_et) / (double(n_e) * (n_t + if(n_et < {FIRM}, {DOUBT}D, 0D))))")
     whole = F.expr("log2(N / double(n_e))")
     return materialize(rows.filter((whole > 0) & (information >= threshold * whole)).select(F.col("t").alias("term")).distinct())
 

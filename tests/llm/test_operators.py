@@ -271,6 +271,19 @@ def test_pii(spark, docs):
     assert pii.digest(pii.find(empty(spark).drop("spans"), pii.fit(empty(spark)))).count() == 0
 
 
+def test_pii_of_few_documents(spark, docs):
+    """A name that stands only with one address, far from it, in two and in four documents."""
+    gap = " ".join(WORDS[:30])
+    rows = [(3000 + i, f"quagga signs {gap} {w} rare@corp.example.org", None) for i, w in enumerate(WORDS[300:304])]
+    rows += [(3100 + i, f"okapi writes at length {gap} {w} 10.1.2.3", None) for i, w in enumerate(WORDS[310:312])]
+    rows += [(3200, "once tapir and only@corp.example.org", None)]
+    every = docs.drop("spans").union(frame(spark, rows).drop("spans"))
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find(every, pii.fit(every)).collect()}
+    assert all("term:0:6" in spans[3000 + i] for i in range(4)) and all("term:0:5" in spans[3100 + i] for i in range(2))
+    assert not any(s.startswith("term:5:10") for s in spans[3200])  # one document shows no tie
+    assert not any(s.startswith("term:13:") for s in spans[3000])  # a word of many other documents
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
