@@ -311,8 +311,9 @@ def bootstrap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forest_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
-    names = [f"x{i}" for i in range(8)]
+    rows = table(spark, sf_dir, "embeddings")
+    names = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names)])
     rows = rows.withColumn("label", F.col("label").cast("string"))
     model = forest.fit(rows, names, "label", "vec_id", nodesize=5, seed=7)
     voted = forest.predict(model, rows, names)

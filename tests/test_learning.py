@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import forest, mlp
+from graphloom.plans import queries
 
 
 def frame(spark, n=600, seed=0):
@@ -85,3 +86,16 @@ def test_training_goes_downhill(spark):
     rows = frame(spark).withColumn("t", 1 / (1 + F.exp(-F.col("y"))))
     _, losses = mlp.train(rows, ["a", "b"], ["t"], "id", [5], rate=2.0, epoch_size=300, passes=8)
     assert losses[-1] < 0.7 * losses[0]
+
+
+def test_the_registered_forest_uses_all_components(spark, tmp_path, monkeypatch):
+    """Labels that only the 41st of 64 components tells."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 64))
+    rows = [(i, int(v[40] > 0), v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    names, plain = [], forest.fit
+    monkeypatch.setattr(forest, "fit", lambda rows, features, *more, **named: names.extend(features) or plain(rows, features, *more, **named))
+    got = queries.forest_train_predict(spark, str(tmp_path)).toPandas()
+    assert names == [f"x{i}" for i in range(64)]
+    assert len(got) == 400 and (got["label"].astype(str) == got["predicted"]).mean() > 0.9
