@@ -224,7 +224,7 @@ def consensus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, adj = _indexed(graphs.embedding_graph(spark, sf_dir))
     adj = materialize(graph.normalize_max(adj))
-    return _named(lp.relabel_dense(consensus.consensus(adj, vertices, (0.0, 1.0, 2.0)).labels), vertices)
+    return _named(lp.relabel_dense(consensus.consensus(adj, vertices).labels), vertices)
 
 
 def gini_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:

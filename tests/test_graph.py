@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.api import cluster_edge_lists, cluster_graph, deparse_communities
+from graphloom.functions.scalar import SLOPES
 from graphloom.operators import consensus, graph
 from graphloom.operators import propagation as lp
+from graphloom.plans import queries
 from graphloom.sources import edges as io
 from graphloom.sources.scratch import materialize
 
@@ -118,3 +120,11 @@ def test_argument_checks(spark):
 
 def test_deparse(spark):
     assert deparse_communities([["a", "b"], ["c"]]) == {"a": 1, "b": 1, "c": 2}
+
+
+def test_the_registered_consensus_runs_over_all_slopes(spark, sf_dir, monkeypatch):
+    """Its edge weights are ninths."""
+    runs, plain = [], consensus.comembership_edges
+    monkeypatch.setattr(consensus, "comembership_edges", lambda adj, found, n: runs.append((n, found.select("run").distinct().count())) or plain(adj, found, n))
+    assert queries.consensus_clusters(spark, sf_dir).count() > 0
+    assert runs == [(len(SLOPES), len(SLOPES))] and len(SLOPES) == 9
