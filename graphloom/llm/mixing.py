@@ -2,9 +2,11 @@
 
 Every document of a source stands in the source's queue twice (two epochs), shuffled by a
 hash of its id. Its virtual finish time is the cumulative words of the queue up to it,
-divided by the source's target, so that the mix is a range sort by finish time, truncated
-where the budget is used up: at time 1. A copy is taken if more than half of it lies before
-that point, so a source misses its target by half a document at most.
+divided by the source's target. All entries of all sources are sorted by range on their finish
+times (then hash, size, epoch), and the mix is the longest prefix whose words the total
+budget holds. What ends by time 1 is always in it, and what follows fills up the budget, so a source
+misses its target by a document at most. Entries carry no texts: they are sorted as keys, and one
+key, that of the last entry in the mix, tells which copies of a document are taken.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share the budget;
 none exceeds `epochs` times its source's size, the excess is shared again by weight until none
@@ -51,11 +53,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
-def schedule(sizes: DataFrame, **kinds) -> DataFrame:
-    """doc_id, source, size, source_size, target, finish (virtual finish time of the first
-    copy), copies (how many the mix takes). sizes must be a written table."""
-    spark = sizes.sparkSession
-    target = max(64, sizes.count() // (2 * partitions(spark)))
+def _queues(sizes: DataFrame, **kinds) -> DataFrame:
+    """sizes with __order, source_size, target and __end: the words of the source's queue up to
+    and with the row, in one epoch."""
+    target = max(64, sizes.count() // (2 * partitions(sizes.sparkSession)))
     share = targets(sizes, **kinds).withColumnRenamed("source", "__source")
     rows = sizes.withColumn("__order", _order())
     n_rows = sizes.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("__n"))
@@ -69,10 +70,48 @@ def schedule(sizes: DataFrame, **kinds) -> DataFrame:
     inside = Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__in", F.sum("size").over(inside))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__at")))
-    end = F.col("__before") + F.col("__in")
-    taken = sum((((F.lit(k) * F.col("source_size") + end) - F.col("size") / 2) <= F.col("target")).cast("long") for k in range(kinds.get("epochs", EPOCHS)))
+    return rows.withColumn("__end", F.col("__before") + F.col("__in")).drop("__source", "__at", "__before", "__in", "__bucket", "__buckets")
+
+
+def _entry(epoch) -> list[Column]:
+    """The place of a row's copy in the mix: its virtual finish time, then what settles ties."""
+    finish = (F.lit(epoch) * F.col("source_size") + F.col("__end")) / F.nullif(F.col("target"), F.lit(0.0))
+    return [F.coalesce(finish, F.lit(0.0)).alias("finish"), F.col("__order"), F.col("size"), F.lit(epoch).alias("epoch")]
+
+
+def cut(queues: DataFrame, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS) -> tuple | None:
+    """The place of the last entry that the budget holds, None if it holds all, (-1.0, ...) if none. All
+    entries are sorted by range; the sizes of the ranges (one row each) tell the one in which the
+    budget ends, and only that one is summed row by row. queues: a written table."""
+    each = queues.select(F.explode(F.array(*[F.struct(*_entry(k)) for k in range(epochs)])).alias("e")).select("e.*")
+    ranked = materialize(each.orderBy("finish", "__order", "size", "epoch").withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sums = sorted(ranked.groupBy(part.alias("p")).agg(F.sum("size").alias("n")).collect())
+    left = budget[0] * (sum(n for _, n in sums) // epochs) // budget[1]  # sizes are whole
+    for p, n in sums:
+        if n > left:
+            upto = F.sum("size").over(Window.partitionBy("p").orderBy("__m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            own = ranked.withColumn("p", part).filter(F.col("p") == p).withColumn("upto", upto).filter(F.col("upto") <= left)
+            place = F.struct("finish", "__order", "size", "epoch")
+            last = own.agg(F.max_by(place, "__m").alias("x")).first()["x"]
+            if last is None:  # the range begins with the entry that is too much
+                last = ranked.filter(part < p).agg(F.max_by(place, "__m").alias("x")).first()["x"]
+            return tuple(last) if last is not None else (-1.0, "", 0, 0)
+        left -= n
+    return None
+
+
+def schedule(sizes: DataFrame, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, **kinds) -> DataFrame:
+    """doc_id, source, size, source_size, target, finish (virtual finish time of the first
+    copy), copies (how many the mix takes). sizes must be a written table."""
+    rows = materialize(_queues(sizes, budget=budget, epochs=epochs, **kinds))
+    last = cut(rows, budget, epochs)
+    taken = F.lit(epochs).cast("long")
+    if last is not None:
+        end = F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("double", "string", "long", "int"), strict=True)])
+        taken = sum((F.struct(*[c.cast(t) for c, t in zip(_entry(k), ("double", "string", "long", "int"), strict=True)]) <= end).cast("long") for k in range(epochs))
     kept = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
-    return rows.select("doc_id", "source", "size", *kept, "source_size", "target", (end / F.nullif(F.col("target"), F.lit(0.0))).alias("finish"), taken.alias("copies"))
+    return rows.select("doc_id", "source", "size", *kept, "source_size", "target", _entry(0)[0], taken.alias("copies"))
 
 
 def word_count(text: str = "text") -> Column:
@@ -85,9 +124,9 @@ def allot(docs: DataFrame, **kinds) -> DataFrame:
     return schedule(materialize(sizes), **kinds)
 
 
-def mix(docs: DataFrame, **kinds) -> DataFrame:
+def mix(docs: DataFrame, ordered: bool = True, **kinds) -> DataFrame:
     """The mix itself: the documents' own columns, a row for each copy, in the order of
-    their virtual finish times. Rows that share a doc_id are given copies as their
+    their virtual finish times (or in any, without moving the texts once more). Rows that share a doc_id are given copies as their
     repeats in the queue: the k-th of them, by source and size, those of the k-th entry."""
     names = docs.columns
     key = ["doc_id", "source", "size"]
@@ -105,4 +144,4 @@ def mix(docs: DataFrame, **kinds) -> DataFrame:
     copies = took.filter("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in key], *more, F.col("finish").alias("__finish"), F.col("target").alias("__target"), F.col("source_size").alias("__all"), entries)
     at = F.col("__finish") + F.col("__epoch") * F.col("__all") / F.nullif(F.col("__target"), F.lit(0.0))
     joined = here.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & match)
-    return joined.orderBy(at, "doc_id").select(*[F.col(f"`{c}`") for c in names])
+    return (joined.orderBy(at, "doc_id") if ordered else joined).select(*[F.col(f"`{c}`") for c in names])

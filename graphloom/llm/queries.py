@@ -84,9 +84,11 @@ f AS (SELECT *, sum(source_size) OVER () * 3 / 2.0 AS total,
       sum(2 * source_size) OVER (ORDER BY level, source NULLS LAST) AS caps, sum(w) OVER (ORDER BY level, source NULLS LAST) AS ws, sum(w) OVER () AS w_all FROM a),
 g AS (SELECT arg_min((total - (caps - 2 * source_size)) / (w_all - (ws - w)), (level, source)) AS level FROM f WHERE caps + level * (w_all - ws) >= total),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT level FROM g) * w) AS target FROM s),
-q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * ((upto - size / 2.0 <= target)::INT + (source_size + upto - size / 2.0 <= target)::INT))::BIGINT AS taken FROM q"""
+q AS (SELECT d.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, row_number() OVER () AS r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, coalesce((k * source_size + upto) / nullif(target, 0.0), 0.0) AS finish FROM q, (VALUES (0), (1)) AS x(k)),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, o, size, k ROWS UNBOUNDED PRECEDING) <= (SELECT 3 * sum(size) // 2 FROM d) AS taken FROM e)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, (any_value(size) * sum(taken::INT))::BIGINT AS taken FROM m GROUP BY r"""
 
 _TOPK = """
 WITH e AS (SELECT vec_id, embedding, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
