@@ -5,24 +5,26 @@ if at least LOW of all documents (and two documents) hold it, and at most HIGH o
 classes, so that a group of copies, however large, cannot push its own words out. A row is of the
 class of the most frequent of its KEYS keys (least hashes of word trigrams) if SHARED of them are
 keys of LOW of all documents, and a class of its own otherwise. A document's
-distinct lexicon terms are sorted and hashed once for each of 60 random subsets of the
-lexicon: 12 draws at each of the rates 1/4, 1/16, 1/64, 1/256 and 1/1024, so that short and long
-documents both have subsets that hold a few of their terms. A fingerprint is the 60 hashes;
-likeness is the share of equal hashes among the subsets that hold a term of either document.
+distinct lexicon terms are sorted and hashed once for each of 28 random subsets of the
+lexicon: 4 draws at the rate 1/4, and two draws inside each of them at the rates 1/16, 1/64 and 1/256,
+so that short and long documents both have subsets that hold a few of their terms, and a term is
+looked at about seven times. A fingerprint is the 28 hashes; likeness is the share of equal hashes among
+the subsets that hold a term of either document.
 
 At most (mean distinct terms of a document) / LOW terms can reach the band's lower end, however
-large the corpus is. The lexicon reaches the rows as a Bloom filter of 2^FILTER_BITS bits (1 MB),
-a scalar subquery, so documents are never exploded to be matched. A term that the
-filter lets through by mistake is one more lexicon term, the same one in every document.
+large the corpus is. The lexicon reaches the rows as a Bloom filter of TERM_BITS bits a term or more
+(16 MB at most, enough for a million terms), a scalar subquery, so documents are never exploded to be
+matched. Of the terms outside the band it lets one in 4,000 through or fewer; such a term is one
+more lexicon term, the same one in every document.
 
 Terms are hashed before they are sorted; the order is that of their hashes.
 
 Defined results: a null text is the empty text; a text with fewer than FEW lexicon terms is hashed
 over those and, up to FEW in all, its other terms with the least hashes, so that one lexicon
 term more or less moves one other term; the empty text is hashed over none, and two texts without any term have likeness 1;
-rows with a null doc_id come first, rows that share one are ordered by text; the row after the last is the
-first, so a single row follows itself; an empty table gives an empty result; other columns
-are not read.
+rows with a null doc_id come first, rows that share one are ordered by text; ids of any type stand in
+the order of their own values; the row after the last is the first, so a single row follows
+itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,19 +34,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import number
 from ..sources.scratch import discard
 from .common import GAP, materialize, partitions
 
 #: The band, as shares of all documents.
 LOW, HIGH = 1 / 2000, 1 / 10
-FILTER_BITS = 23
+TERM_BITS, MAX_FILTER_BITS = 128, 27
 #: Lexicon terms below which a document's other terms fill up.
 FEW = 8
 #: Keys of a row, by which copies are found, and how many of them must be frequent.
 KEYS, SHARED = 4, 2
-#: Rates 2^-r of the subsets, and how many draws at each; a draw has ten bits of a hash of
-#: its own, six draws to a hash.
-RATES, DRAWS, PER_HASH = (2, 4, 6, 8, 10), 12, 6
+#: Draws at the rate 1/4, draws inside each of them, and their rates 2^-r; each step takes two bits of
+#: the term's hash of its own, 56 in all.
+OUTER, INNER, RATES = 4, 2, (4, 6, 8)
+HASHES = OUTER * (1 + INNER * len(RATES))
 EMPTY = "0" * 8
 
 
@@ -89,7 +93,11 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return held.filter(F.col("term").isNotNull() & (F.col("classes") <= most)).select("term", "n")
 
 
-def bloom(lex: DataFrame, bits: int = FILTER_BITS) -> Column:
+def filter_bits(n: int) -> int:
+    return min(MAX_FILTER_BITS, max(12, math.ceil(math.log2(TERM_BITS * max(1, n)))))
+
+
+def bloom(lex: DataFrame, bits: int) -> Column:
     """The lexicon as an array of 2^bits / 64 words, a scalar subquery; two bits a term."""
     spark = lex.sparkSession
     slot = F.explode(F.array(F.col("term").bitwiseAND(F.lit((1 << bits) - 1)), F.expr(f"shiftrightunsigned(term, {64 - bits})")))
@@ -111,77 +119,82 @@ def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.xxhash64(key)).withColumn("__f", held).filter(F.expr(_in("__f", bits))).drop("t", "__f")
 
 
-def fingerprint(df: DataFrame, text: str, lex_filter: Column, name: str, bits: int = FILTER_BITS) -> DataFrame:
+def fingerprint(df: DataFrame, text: str, lex_filter: Column, name: str, bits: int) -> DataFrame:
     """df with the fingerprint of the column text as the added column name."""
     out = df.withColumn("__all", F.expr(terms(f"`{text}`"))).withColumn("__lex", lex_filter)
     out = out.withColumn("__in", F.expr(f"filter(__all, t -> {_in('__lex', bits)})")).drop("__lex")
     # by a hash of their own, as draws take their bits from that of the term
     others = "transform(array_sort(transform(array_except(__all, __in), t -> struct(xxhash64(t, -1) as o, t as t))), x -> x.t)"
     filled = F.expr(f"sort_array(concat(__in, slice({others}, 1, {FEW} - size(__in))))")
-    out = out.withColumn("__in0", F.when(F.size("__in") < FEW, filled).otherwise(F.col("__in")))
-    for i in range(1, DRAWS // PER_HASH):
-        out = out.withColumn(f"__in{i}", F.expr(f"transform(__in0, t -> xxhash64(t, {i}))"))
-    hashes = []
-    for d in range(DRAWS):
-        prior = f"__in{d // PER_HASH}"
-        for r in RATES:  # each a subset of the one before it
-            own = f"__s{d}_{r}"
-            mask = ((1 << r) - 1) << (10 * (d % PER_HASH))
-            out = out.withColumn(own, F.expr(f"filter({prior}, t -> t & {mask}L = 0)"))
-            hashes.append(F.expr(f"if(size({own}) = 0, '{EMPTY}', right(lpad(hex(xxhash64({own})), 16, '0'), 8))"))
-            prior = own
-    return out.withColumn(name, F.lower(F.concat(*hashes))).drop("__all", "__in", *[f"__in{i}" for i in range(DRAWS // PER_HASH)], *[f"__s{d}_{r}" for d in range(DRAWS) for r in RATES])
+    out = out.withColumn("__s", F.when(F.size("__in") < FEW, filled).otherwise(F.col("__in")))
+    held, bit = ["__s"], 0
+
+    def draw(prior: str) -> str:
+        nonlocal out, bit
+        held.append(f"__s{len(held)}")
+        out = out.withColumn(held[-1], F.expr(f"filter({prior}, t -> t & {3 << bit}L = 0)"))
+        bit += 2
+        return held[-1]
+
+    for _ in range(OUTER):
+        outer = draw("__s")
+        for _ in range(INNER):
+            prior = outer
+            for _ in RATES:
+                prior = draw(prior)
+    hashes = [F.expr(f"if(size({s}) = 0, '{EMPTY}', right(lpad(hex(xxhash64({s})), 16, '0'), 8))") for s in held[1:]]
+    return out.withColumn(name, F.lower(F.concat(*hashes))).drop("__all", "__in", *held)
 
 
 def likeness(a: str, b: str) -> Column:
     """The share of equal hashes among the subsets that either document has terms in."""
-    n = DRAWS * len(RATES)
-    either = f"filter(sequence(0, {n - 1}), i -> substr({a}, 8 * i + 1, 8) <> '{EMPTY}' or substr({b}, 8 * i + 1, 8) <> '{EMPTY}')"
-    same = f"filter(sequence(0, {n - 1}), i -> substr({a}, 8 * i + 1, 8) <> '{EMPTY}' and substr({a}, 8 * i + 1, 8) = substr({b}, 8 * i + 1, 8))"
+    either = f"filter(sequence(0, {HASHES - 1}), i -> substr({a}, 8 * i + 1, 8) <> '{EMPTY}' or substr({b}, 8 * i + 1, 8) <> '{EMPTY}')"
+    same = f"filter(sequence(0, {HASHES - 1}), i -> substr({a}, 8 * i + 1, 8) <> '{EMPTY}' and substr({a}, 8 * i + 1, 8) = substr({b}, 8 * i + 1, 8))"
     return F.expr(f"if({a} = {b}, 1.0D, coalesce(size({same}) / nullif(size({either}), 0), 1.0D))")
 
 
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """rows with next_<column> of the row after it by id_col, the first after the last.
 
-    Rows are dealt to ranges whose bounds are ids (four for each partition), found by a look-up in two
-    steps of about the square root of their number; the first rows of a range also go, marked, to the range before it, so one shuffle by range is
-    all and no window spans the table."""
-    p = partitions(rows.sparkSession)
-    key = F.xxhash64(F.col(id_col)) if rows.schema[id_col].dataType.typeName() == "string" else F.col(id_col)
-    quantiles = [i / (4 * p) for i in range(1, 4 * p)]
-    found = rows.select(key.alias("k")).agg(F.min("k").alias("least"), F.percentile_approx("k", quantiles, 1000 + 40 * p).alias("q")).first()
-    # at most 4 * partitions ids; the lowest range also has the null ids
-    starts = sorted({found["least"], *(found["q"] or [])} - {None})[1:]
-    bounds = F.array(*map(F.lit, starts)) if starts else F.array().cast("array<long>")
-    step = max(1, math.isqrt(len(starts)))
-    coarse = F.array(*map(F.lit, starts[step - 1 :: step])) if starts else F.array().cast("array<long>")
-    before = F.size(F.filter(coarse, lambda b: b <= F.col("__key"))) * step
-    at = before + F.size(F.filter(F.slice(bounds, before + 1, F.lit(step)), lambda b: b <= F.col("__key")))
-    out = rows.withColumn("__key", key).withColumn("__range", F.when(F.col("__key").isNull(), 0).otherwise(at))
-    first = F.lit(False)
-    if starts:
-        first = F.coalesce(F.array_contains(bounds, F.col("__key")), F.lit(False))
-    has_null = rows.filter(key.isNull()).limit(1).count() > 0
-    lowest = F.col("__key").isNull() if has_null else F.col("__key") == F.lit(found["least"])
-    n = len(starts) + 1
-    copies = F.when(lowest, F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("extra")), F.struct(F.lit(n - 1).alias("r"), F.lit(1).alias("extra"))))
-    copies = copies.when(first, F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("extra")), F.struct((F.col("__range") - 1).alias("r"), F.lit(1).alias("extra"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("extra"))))
-    out = out.withColumn("__copy", F.explode(copies))
+    Ids alone are numbered first, by a range sort, so that the rows can be dealt to ranges of equal
+    sizes (four for each partition), whose bounds are ids: the first of each range. A row finds its range by a
+    look-up in two steps of about the square root of their number; the first rows of a range also go,
+    marked, to the range before it, so one shuffle of whole rows is all and no window spans the table."""
+    key = F.col(id_col)
+    ids = materialize(number(rows.select(key.alias("k")).filter("k is not null"), [F.col("k")], "at"))
+    n_ids = ids.count()
+    ranges = min(max(1, n_ids), 4 * partitions(rows.sparkSession))
+    starts = materialize(ids.filter(F.expr(f"at = 0 or (at * {ranges}) div {max(1, n_ids)} <> ((at - 1) * {ranges}) div {max(1, n_ids)}")).select("k").distinct())
+    n = max(1, starts.count())
+    step = max(1, math.isqrt(n))
+    few = starts.agg(F.sort_array(F.collect_list("k")).alias("b"))
+    few = few.select(F.struct("b", F.expr(f"filter(b, (x, i) -> i % {step} = {step - 1})").alias("coarse"))).scalar()
+    out = rows.withColumns({"__key": key, "__few": few})
+    before = F.expr(f"size(filter(__few.coarse, x -> x <= __key)) * {step}")
+    out = out.withColumn("__before", before).withColumn("__range", F.expr(f"if(__key is null, 0, __before + size(filter(slice(__few.b, __before + 1, {step}), x -> x <= __key)) - 1)"))
+    has_null = not rows.filter(key.isNull()).isEmpty()
+    first = F.coalesce(F.expr("get(__few.b, __range) = __key"), F.lit(False))
+    to = F.when(F.col("__key").isNull(), n - 1).when(first & (F.col("__range") > 0), F.col("__range") - 1)
+    if not has_null:
+        to = to.when(first, n - 1)
+    out = out.withColumn("__to", to).drop("__few", "__before")
+    here, there = (F.struct(F.col(c).alias("r"), F.lit(k).alias("extra")) for k, c in enumerate(("__range", "__to")))
+    out = out.withColumn("__copy", F.explode(F.when(F.col("__to").isNull(), F.array(here)).otherwise(F.array(here, there))))
     w = Window.partitionBy("__copy.r").orderBy("__copy.extra", F.col("__key").asc_nulls_first(), *columns)
     out = out.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("__copy.extra = 0")
-    return out.drop("__copy", "__range", "__key")
+    return out.drop("__copy", "__range", "__to", "__key")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lex = bloom(materialize(lexicon(rows)))
-    rows = with_next(fingerprint(rows, "text", lex, "fingerprint"), "doc_id", ["text", "fingerprint"])
+    held = materialize(lexicon(rows))
+    bits = filter_bits(held.count())
+    lex = bloom(held, bits)
+    rows = with_next(fingerprint(rows, "text", lex, "fingerprint", bits), "doc_id", ["text", "fingerprint"])
     half = F.expr("cast(floor(char_length(text) / 2) as int)")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half))
-    rows = fingerprint(rows.withColumn("edited", edited), "edited", lex, "edited_fingerprint")
+    rows = fingerprint(rows.withColumn("edited", edited), "edited", lex, "edited_fingerprint", bits)
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),

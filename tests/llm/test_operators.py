@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import same
 from pyspark.sql import functions as F
 
@@ -71,6 +73,83 @@ def test_fingerprints(spark, docs):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"just one rjust one r").hexdigest()
 
 
+def plain_imatch(texts):
+    """Fingerprints of texts (a list of one a row) and likeness, as the docstring defines them."""
+    fold = lambda hs, seed=42: reduce(lambda h, x: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h), hs, seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    words = [[xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())] for t in texts]
+    keys = []
+    for w in words:
+        g = [signed(fold(w[i : i + 3])) for i in range(len(w))]
+        keys.append([min((x for x in g if x % fingerprints.KEYS == j), default=None) for j in range(fingerprints.KEYS)])
+    often = {k: n for k, n in Counter(k for ks in keys for k in ks if k is not None).items() if n >= 2 and n >= fingerprints.LOW * len(texts)}
+    classes = []
+    for i, ks in enumerate(keys):
+        held = [(often[k], k) for k in ks if k in often]
+        classes.append(max(held)[1] if len(held) >= fingerprints.SHARED else ("own", i))
+    n, by = Counter(t for w in words for t in set(w)), {}
+    for w, c in zip(words, classes, strict=True):
+        for t in set(w):
+            by.setdefault(t, set()).add(c)
+    lex = {t for t in n if n[t] >= 2 and n[t] >= fingerprints.LOW * len(texts) and len(by[t]) <= fingerprints.HIGH * len(set(classes))}
+
+    def of(w):
+        own = {signed(t) for t in set(w) & lex}
+        if len(own) < fingerprints.FEW:
+            others = sorted((signed(xxhash.xxh64_intdigest((0xFFFFFFFF).to_bytes(4, "little"), fold([t % (1 << 64)]))), t) for t in {signed(t) for t in w} - own)
+            own |= {t for _, t in others[: fingerprints.FEW - len(own)]}
+        out, bit = [], 0
+        show = lambda s: f"{fold([t % (1 << 64) for t in sorted(s)]):016x}"[8:] if s else fingerprints.EMPTY
+        for _ in range(fingerprints.OUTER):
+            outer = {t for t in own if t >> bit & 3 == 0}
+            out.append(show(outer))
+            bit += 2
+            for _ in range(fingerprints.INNER):
+                s = outer
+                for _ in fingerprints.RATES:
+                    s = {t for t in s if t >> bit & 3 == 0}
+                    out.append(show(s))
+                    bit += 2
+        return "".join(out)
+
+    return [of(w) for w in words]
+
+
+def plain_likeness(a, b):
+    pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8)]
+    either = [p for p in pairs if p != (fingerprints.EMPTY,) * 2]
+    return 1.0 if a == b else sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
+def test_fingerprints_match_the_plain_version(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(WORDS, [1 / (i + 1) for i in range(len(WORDS))], k=rng.choice([0, 1, 5, 60, 300]))) for _ in range(150)]
+    texts += [t.replace("w3 ", "changed ", 1) for t in texts[:60]] + [texts[3]] * 40
+    got = {r["doc_id"]: r for r in fingerprints.compare_edits(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    plain = plain_imatch(texts)
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == plain
+    assert len(set(plain)) > 100
+    for i in range(len(texts)):
+        r = got[i]
+        assert abs(r["near_next"] - plain_likeness(plain[i], plain[(i + 1) % len(texts)])) < 1e-12
+        assert abs(r["near_edited"] - plain_likeness(plain[i], r["edited_fingerprint"])) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_with_any_ids(spark, kind):
+    """Ids beyond 2^53, and strings, are in the order of their own values; none lacks a next row."""
+    rng = random.Random(13)
+    ids = [rng.randrange(2**62, 2**63 - 1) if kind == "long" else f"{rng.randrange(10**6)}-é{i}" for i in range(300)] + [None]
+    texts = {i: f"text of {i} " * 3 for i in ids}
+    rows = spark.createDataFrame([(i, texts[i]) for i in ids], f"doc_id {kind}, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_edits(rows).collect()}
+    order = sorted(ids, key=lambda i: (i is not None, (i.encode() if kind == "string" else i) if i is not None else 0))
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % len(order)]]
+        half = len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_fingerprints_of_a_group_of_a_third_of_all_rows(spark):
     """Near copies stay alike however many there are, and their words stay in the lexicon."""
     rng = random.Random(8)
@@ -96,7 +175,7 @@ def test_fingerprints_with_few_lexicon_terms(spark):
     words = [f"c{i}" for i in range(200)]
     rows = [(i, " ".join([*words, *own]), "s") for i, own in enumerate([["rare"], []] * 20)]
     rare = spark.createDataFrame([("rare",)], "w string").select(F.xxhash64("w").alias("term"))
-    got = fingerprints.fingerprint(frame(spark, rows[:2]), "text", fingerprints.bloom(rare), "f").select("f").collect()
+    got = fingerprints.fingerprint(frame(spark, rows[:2]), "text", fingerprints.bloom(rare, 12), "f", 12).select("f").collect()
     assert spark.range(1).select(fingerprints.likeness(*[f"'{r['f']}'" for r in got])).first()[0] > 0.2
 
 
