@@ -1,19 +1,24 @@
 """Line dedup that can be taken back: exact reference counts behind sharded cuckoo filters.
 
-The exact table holds postings (key, doc_id) of long lines; a key's reference count is the
-number of documents that hold it. Documents are inserted as new postings and deleted
-by their doc_id, so that every decision can be reversed. Keys whose count reaches the limit are
-put into cuckoo filters, one for each shard of the key space. A scan asks the filters first
-and sends only the lines that they let through to the exact table, which settles them.
+The exact table holds postings (key, doc_id) of all long lines; a key's reference count is the
+number of documents that hold it. Documents are inserted as new postings and deleted by
+their doc_id; then the keys that they hold are counted again, and only those. Keys whose
+count reaches the limit stand in cuckoo filters, one for each shard of the key space: a key that reaches
+it is inserted into its shard's filter, one that falls below is deleted from it. So an index after
+any insertions and deletions gives the decisions of one made at once, and every decision can be reversed.
+A scan of the postings asks the filters first and sends only what they let through to the exact
+counts, which settle it.
 
 Keys are the 128-bit xxh3 digests of the normalised lines. Filters are broadcast while they
-are under MAX_FILTER_BYTES; beyond that, the scan sends all long lines to the exact join.
+are under MAX_FILTER_BYTES; beyond that, all postings go to the exact counts. Keys with more than
+a fair share of all postings (2 * partitions of them at most) meet their counts by broadcast,
+the others by a shuffle, so that a line of a third of all documents is no one task's.
 
 Defined results: a null or empty text is one empty line; rows with a null doc_id hold no key
 and lose no line; rows that repeat a doc_id are one document for the counts, and each row
 loses its own lines; a line that stands twice in the document that keeps it stays twice;
 dedup() gives a null text as the empty text; an empty table gives an empty result; other
-columns are kept by dedup() as they are.
+columns are kept by dedup() as they are, but n_lines and n_dropped give way to its own.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, mix64, text_batches, type_of
+from .common import SPACE, materialize, mix64, partitions, text_batches, type_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -120,14 +125,11 @@ def _keys(text: str | None, min_chars: int) -> set[bytes]:
     return {digest(k) for x in (text or "").split("\n") if len(x) >= min_chars and len(k := line_key(x)) >= min_chars}
 
 
-def postings(docs: DataFrame, min_chars: int = MIN_CHARS, filters: dict[int, bytes] | None = None) -> DataFrame:
-    """(h1, h2, doc_id): the long lines of each row, each key once a row; with filters, only
-    those that the filters let through."""
+def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, doc_id): the long lines of each row, each key once a row."""
     text_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cuckoo = {s: CuckooFilter.from_bytes(b) for s, b in held.value.items()} if held else None
         for pdf in batches:
             ids, found = [], []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -135,64 +137,121 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, filters: dict[int, byt
                 found += own
                 ids += [i] * len(own)
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            out = pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype)})
-            if cuckoo is not None:
-                keep, shard = np.zeros(len(h), dtype=bool), h[:, 0].view(np.uint64) % np.uint64(SHARDS)
-                for s, f in cuckoo.items():
-                    at = np.flatnonzero(shard == s)
-                    keep[at] = f.contains(h[at, 1].view(np.uint64))
-                out = out[keep]
-            yield out
+            yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype)})
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     return rows.mapInPandas(run, f"h1 long, h2 long, doc_id {type_of(docs, 'doc_id')}")
 
 
-def shard_filters(keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> dict[int, bytes] | None:
-    """Cuckoo filters over keys (h1, h2), by shard; None if they would be over max_bytes."""
-    if keys.count() * 2 * 2 > max_bytes:
-        return None
+def _shard() -> Column:
+    return F.pmod(F.col("h1"), F.lit(SHARDS)).cast("long")
+
+
+def built(keys: DataFrame) -> DataFrame:
+    """(shard, data): cuckoo filters over keys (h1, h2)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "data": [CuckooFilter.of(pdf["h2"].to_numpy().view(np.uint64)).to_bytes()]})
 
-    # a uint64 modulo, as in the scan
-    shard = F.pmod(F.col("h1"), F.lit(SHARDS)).cast("long")
-    return {r[0]: bytes(r[1]) for r in keys.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, data binary").collect()}
+    return keys.select("h2", _shard().alias("shard")).groupBy("shard").applyInPandas(build, "shard long, data binary")
 
 
-class LineIndex:
-    """The exact table: postings (h1, h2, doc_id), written to the shared folder."""
+def changed(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """filters (shard, data) after the keys (h1, h2, put) were inserted or, put being false, deleted; a
+    filter that has no place left, or a shard without one, has the data null."""
 
-    def __init__(self, table: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
-        self.table, self.min_chars, self.min_docs = table, min_chars, min_docs
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old):
+            return pd.DataFrame({"shard": new["shard"].iloc[:1], "data": [None]})
+        held, put = CuckooFilter.from_bytes(bytes(old["data"].iloc[0])), new["put"].to_numpy().astype(bool)
+        h = new["h2"].to_numpy().astype(np.int64).view(np.uint64)
+        held.table = held.table.copy()
+        for k in h[~put]:
+            held.delete(int(k))
+        whole = all(held.insert(int(k)) for k in h[put])
+        return pd.DataFrame({"shard": old["shard"].iloc[:1], "data": [held.to_bytes() if whole else None]})
+
+    keys = keys.select("h2", "put", _shard().alias("shard"))
+    return filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(run, "shard long, data binary")
 
-    @classmethod
-    def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-        return cls(materialize(postings(docs, min_chars).distinct()), min_chars, min_docs)
+
+class LineIndex:
+    """postings: (h1, h2, doc_id) of all long lines; counts: (h1, h2, n, keeper) of the keys whose
+    reference count reaches the limit; filters: (shard, data) over those keys, None while they would be
+    over max_filter_bytes. Written tables all."""
+
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame | None, min_chars: int, min_docs: int, max_filter_bytes: int):
+        self.postings, self.counts, self.filters = postings, counts, filters
+        self.min_chars, self.min_docs, self.max_filter_bytes = min_chars, min_docs, max_filter_bytes
 
     @classmethod
-    def of_repeated(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES) -> LineIndex:
-        """Only the keys that enough rows hold, for a corpus that is deduplicated once: rows are
-        counted first, and the second scan sends only what the filters let through."""
-        many = materialize(postings(docs, min_chars).groupBy("h1", "h2").count().filter(F.col("count") >= min_docs).select("h1", "h2"))
-        filters = shard_filters(many, max_filter_bytes)
-        return cls(materialize(postings(docs, min_chars, filters).distinct()), min_chars, min_docs)
+    def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES) -> LineIndex:
+        held = materialize(postings(docs, min_chars).distinct())
+        nothing = docs.sparkSession.createDataFrame([], f"h1 long, h2 long, n long, keeper {type_of(docs, 'doc_id')}")
+        return cls(held, nothing, None, min_chars, min_docs, max_filter_bytes)._counted(None)
+
+    def _counted(self, touched: DataFrame | None) -> LineIndex:
+        """The index with the counts of the touched keys (None: all) taken again, and the filters
+        that follow from them."""
+        rows = self.postings if touched is None else self.postings.join(touched, ["h1", "h2"], "left_semi")
+        now = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= self.min_docs)
+        if touched is not None:
+            now = now.union(self.counts.join(touched, ["h1", "h2"], "left_anti").select("h1", "h2", "n", "keeper"))
+        now = materialize(now)
+        filters, n = None, now.count()
+        if 4 * n <= self.max_filter_bytes:
+            if self.filters is None:
+                filters = materialize(built(now))
+            else:
+                put = now.select("h1", "h2").join(self.counts, ["h1", "h2"], "left_anti").withColumn("put", F.lit(True))
+                gone = self.counts.select("h1", "h2").join(now, ["h1", "h2"], "left_anti").withColumn("put", F.lit(False))
+                filters = materialize(changed(self.filters, put.union(gone)))
+                full = [r["shard"] for r in filters.filter("data is null").collect()]
+                if full:  # SHARDS at most
+                    filters = materialize(filters.filter("data is not null").union(built(now.filter(_shard().isin(full)))))
+        return LineIndex(self.postings, now, filters, self.min_chars, self.min_docs, self.max_filter_bytes)
+
+    def _with(self, postings: DataFrame) -> LineIndex:
+        return LineIndex(postings, self.counts, self.filters, self.min_chars, self.min_docs, self.max_filter_bytes)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return LineIndex(materialize(self.table.union(postings(docs, self.min_chars)).distinct()), self.min_chars, self.min_docs)
+        """The index with the long lines of docs; rows of a doc_id it has add the keys it lacks."""
+        new = materialize(postings(docs, self.min_chars).distinct())
+        every = materialize(self.postings.union(new).distinct())
+        return self._with(every)._counted(new.select("h1", "h2").distinct())
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """ids: a table with a column doc_id."""
-        return LineIndex(materialize(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")), self.min_chars, self.min_docs)
-
-    def counts(self) -> DataFrame:
-        """(h1, h2, n, keeper): the reference counts that reach the limit."""
-        return self.table.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= self.min_docs)
+        """The index without the documents of ids, a table with a column doc_id."""
+        ids = ids.select("doc_id").distinct()
+        gone = materialize(self.postings.join(ids, "doc_id", "left_semi").select("h1", "h2").distinct())
+        return self._with(materialize(self.postings.join(ids, "doc_id", "left_anti").select("h1", "h2", "doc_id")))._counted(gone)
+
+    def candidates(self) -> DataFrame:
+        """The postings that the filters let through, all of them where the filters are too large."""
+        if self.filters is None:
+            return self.postings
+        held = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cuckoo = {s: CuckooFilter.from_bytes(b) for s, b in held.value.items()}
+            for pdf in batches:
+                keys, shard = pdf["h2"].to_numpy().view(np.uint64), pdf["h1"].to_numpy() % SHARDS
+                keep = np.zeros(len(pdf), dtype=bool)
+                for s in np.unique(shard):
+                    if s in cuckoo:
+                        at = np.flatnonzero(shard == s)
+                        keep[at] = cuckoo[s].contains(keys[at])
+                yield pdf[keep]
+
+        return self.postings.mapInPandas(run, self.postings.schema)
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
-        lost = self.table.join(self.counts(), ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
+        rows = materialize(self.candidates())
+        fair = -(-max(1, rows.count()) // (2 * partitions(rows.sparkSession)))
+        counts = self.counts.select("h1", "h2", "n", "keeper")
+        hot, rest = F.broadcast(counts.filter(F.col("n") > fair)), counts.filter(F.col("n") <= fair)
+        lost = rows.join(hot, ["h1", "h2"]).union(rows.join(hot, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])).filter(F.col("doc_id") < F.col("keeper"))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
 
 
@@ -217,6 +276,6 @@ def dedup(docs: DataFrame, index: LineIndex) -> DataFrame:
 
     apply = F.pandas_udf(kept, "text string, n_lines long, n_dropped long")
     joined = joined.withColumn("__kept", apply(text, F.col("__h1"), F.col("__h2")))
-    return joined.select(*[F.col("__kept.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"))
-
-
+    own = ("n_lines", "n_dropped")
+    kept_columns = [F.col("__kept.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names if c.lower() not in own]
+    return joined.select(*kept_columns, *[F.col(f"__kept.{c}").alias(c) for c in own])

@@ -48,7 +48,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.dedup(docs, line_dedup.LineIndex.of_repeated(docs))
+    kept = line_dedup.dedup(docs, line_dedup.LineIndex.of(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -436,21 +436,39 @@ def plain_lines(rows):
 
 @pytest.mark.parametrize("most", [line_dedup.MAX_FILTER_BYTES, 0])
 def test_line_dedup(spark, docs, most):
-    index = line_dedup.LineIndex.of_repeated(docs, max_filter_bytes=most)
-    got = line_dedup.dedup(docs.select("doc_id", "text", "key", "n"), index)
+    index = line_dedup.LineIndex.of(docs, max_filter_bytes=most)
+    clash = docs.withColumn("n_dropped", F.lit("x")).withColumn("N_lines", F.lit("y")).withColumn("keys", F.lit("z"))
+    got = line_dedup.dedup(clash, index)
+    assert got.columns == [*docs.columns, "keys", "n_lines", "n_dropped"]
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in got.collect()) == plain_lines(rows_of(docs))
-    assert line_dedup.dedup(empty(spark), line_dedup.LineIndex.of_repeated(empty(spark))).count() == 0
+    assert line_dedup.dedup(empty(spark), line_dedup.LineIndex.of(empty(spark))).count() == 0
 
 
 def test_line_dedup_can_be_taken_back(spark):
+    """Insertions and deletions lead to the decisions and filters of an index made at once."""
     line = "a line that is certainly longer than forty characters"
-    rows = [(i, f"{line}\nown line {i}", None) for i in range(6)]
-    index = line_dedup.LineIndex.of(frame(spark, rows[:4]))
-    assert index.counts().count() == 0
-    more = index.insert(frame(spark, rows[4:]))
-    assert [(r["n"], r["keeper"]) for r in more.counts().collect()] == [(6, 5)]
-    less = more.delete(frame(spark, rows[4:]))
-    assert less.counts().count() == 0 and less.table.exceptAll(index.table).count() == 0
+    rows = [(i, f"{line}\nown line {i} that is longer than forty characters, too" + ("\n" + line.replace("line", "row") if i % 2 else ""), None) for i in range(14)]
+
+    def state(index):
+        held = {r["shard"]: line_dedup.CuckooFilter.from_bytes(bytes(r["data"])) for r in index.filters.collect()}
+        counts = {(r["h1"], r["h2"]): (r["n"], r["keeper"]) for r in index.counts.collect()}
+        assert all(held[h1 % line_dedup.SHARDS].contains(np.array([h2], dtype=np.int64).view(np.uint64))[0] for h1, h2 in counts)
+        texts = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.dedup(frame(spark, rows).select("doc_id", "text"), index).collect())
+        return counts, {s: int((f.table > 0).sum()) for s, f in held.items() if f.table.any()}, texts
+
+    four = line_dedup.LineIndex.of(frame(spark, rows[:4]))
+    assert four.counts.count() == 0
+    five = four.insert(frame(spark, rows[4:5]))
+    assert [(r["n"], r["keeper"]) for r in five.counts.collect()] == [(5, 4)]
+    every = five.insert(frame(spark, rows[3:]))
+    whole = line_dedup.LineIndex.of(frame(spark, rows))
+    assert state(every) == state(whole) and every.counts.count() == 2
+    fewer = every.delete(frame(spark, [rows[13], rows[2]]))
+    assert state(fewer) == state(line_dedup.LineIndex.of(frame(spark, rows[:2] + rows[3:13])))
+    less = every.delete(frame(spark, rows[4:]))
+    assert state(less) == state(four) and less.postings.exceptAll(four.postings).count() == 0
+    exact = line_dedup.LineIndex.of(frame(spark, rows[:4]), max_filter_bytes=0).insert(frame(spark, rows[4:]))
+    assert exact.filters is None and exact.counts.exceptAll(whole.counts).count() == 0
 
 
 def test_cuckoo_filters():
