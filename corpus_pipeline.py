@@ -23,7 +23,7 @@ def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Repeated long lines stay in one document; n_chars follows the text. Documents that
     lost all their text, and only those, go."""
     rows = docs.select(*COLUMNS)
-    kept = line_dedup.dedup(rows, line_dedup.LineIndex.of_repeated(rows))
+    kept = line_dedup.dedup(rows, line_dedup.LineIndex.of(rows))
     kept = kept.filter((F.col("n_dropped") == 0) | (F.trim(F.col("text")) != ""))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -35,8 +35,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their targets, a row for each copy, in the order of the mix."""
-    return mixing.mix(docs.select(*COLUMNS))
+    """Sources in proportion to their targets, a row for each copy; packing needs no order."""
+    return mixing.mix(docs.select(*COLUMNS), ordered=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
