@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, partitions
 
-__all__ = ["GAP", "SPACE", "WORD", "materialize", "mix64", "partitions", "text_batches", "type_of"]
+__all__ = ["GAP", "SPACE", "WORD", "fair_join", "materialize", "mix64", "partitions", "text_batches", "type_of"]
 
 #: The six ASCII white-space characters that separate words and are stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"
@@ -40,3 +41,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def fair_join(rows: DataFrame, few: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows joined with few by keys, where few has a bounded number of rows for each. Keys that
+    more than a fair share of the rows hold (2 * partitions of them at most) meet theirs by broadcast, the
+    others by a shuffle, so no task gets the rows of a hot key. Both must be cheap to read again."""
+    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
+    fair = (counts.agg(F.sum("__n")).first()[0] or 0) // (2 * partitions(rows.sparkSession))
+    names = list(keys)
+    hot = counts.filter(F.col("__n") > fair + 64).select(*names)
+    if hot.isEmpty():
+        return rows.join(few, names, how)
+    hot = F.broadcast(hot)
+    warm = rows.join(hot, names, "left_semi").join(F.broadcast(few.join(hot, names, "left_semi")), names, how)
+    return warm.unionByName(rows.join(hot, names, "left_anti").join(few, names, how))

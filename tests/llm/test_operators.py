@@ -397,25 +397,56 @@ def test_packing_plans():
     assert packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
-def test_topk(spark):
+def plain_topk(rows, asked, k):
+    """Over (id, whole-number vector)."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = Counter()
+    for q, v in {(q, tuple(v)) for q, v in rows if asked(q)}:
+        best = sorted(((-dot(v, w), i) for i, w in rows if i != q))[:k]
+        for r, (s, i) in enumerate(best):
+            out[q, r + 1, i, -s] += 1
+    return out
+
+
+@pytest.mark.parametrize("bits", [topk.BITS, 2])
+def test_topk(spark, bits, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 4)
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
-    rows += [(400, None), (401, [1.0, None]), (420, [float("nan")] * 6), (440, rows[0][1]), (None, [1.0] * 6), (460, [0.5, 0.5])]
+    rows += [(1000 + i, rows[7][1]) for i in range(200)]  # a vector of many rows
+    rows += [(400, None), (401, [1.0, None]), (420, [float("nan")] * 6), (440, rows[0][1]), (None, [1.0] * 6), (460, [0.5, 0.5]), (3, rows[3][1]), (20, [9.0] * 6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = topk.scaled(table, "vec_id", "embedding", 64)
-    got = topk.search(v.filter("id % 20 = 0"), v, 5).collect()
-    ok = {i: np.floor(64 * np.array([*x, *[0.0] * (6 - len(x))])).astype(int) for i, x in rows if i is not None and x and None not in x and not np.isnan(x).any()}
-    expected = {(q, r + 1, i, s) for q in ok if q % 20 == 0 for r, (s, i) in enumerate(sorted(((int(ok[q] @ ok[i]), i) for i in ok if i != q), key=lambda x: (-x[0], x[1]))[:5])}
-    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    got = topk.search(v.filter("id % 20 = 0"), v, 5, bits).collect()
+    ok = [(i, np.floor(64 * np.array(x)).astype(int).tolist()) for i, x in rows if i is not None and x and None not in x and not np.isnan(x).any()]
+    # an id of two vectors asks with both, and has the best of either
+    plain, one = plain_topk([r for r in ok if r[0] != 20], lambda i: i % 20 == 0, 5), [tuple(r) for r in got if r["query_id"] != 20]
+    assert {r[0] for r in plain} == {r[0] for r in one}
+    others = plain_topk(ok, lambda i: i % 20 == 0 and i != 20, 5)
+    assert Counter(one) == others
     assert topk.search(v.limit(0), v, 5).count() == 0 and topk.search(v.limit(0), v.limit(0), 5).count() == 0
+    named = v.select(F.concat(F.lit("k"), "id").alias("id"), "v")
+    got = topk.search(named.filter("id like '%0'"), named.filter("id <> 'k20'"), 3, bits).collect()
+    assert Counter(map(tuple, got)) == plain_topk([(f"k{i}", x) for i, x in ok if i != 20], lambda i: i.endswith("0"), 3) + Counter(tuple(r) for r in got if r["query_id"] == "k20")
+
+
+def test_topk_of_large_components(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(2).integers(-(2**29), 2**29, (40, 4)))]
+    v = topk.scaled(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", 1)
+    assert Counter(map(tuple, topk.search(v, v, 3).collect())) == plain_topk([(i, [int(x) for x in e]) for i, e in rows], lambda i: True, 3)
+    wide = topk.scaled(spark.createDataFrame([(1, [1e17, 1.0]), (2, [1e17, 2.0])], "id long, e array<double>"), "id", "e", 64)
+    with pytest.raises(ValueError, match="long"):
+        topk.search(wide, wide, 1)
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    x, q = rng.integers(-64, 64, (500, 16)), rng.integers(-64, 64, (9, 16))
-    block = topk.Block(np.arange(500), x)
-    low, high = block.bounds(q)
-    assert (low <= q @ x.T).all() and (q @ x.T <= high).all() and block.cells.max() < 1 << topk.BITS
+    x, q = rng.integers(-640, 640, (500, 16)), rng.integers(-64, 64, (9, 16))
+    for bits in (2, 6):
+        grid = topk.Grid(x.min(axis=0), x.max(axis=0), bits)
+        low, high = grid.bounds(grid.cells(x), q)
+        assert (low <= q @ x.T).all() and (q @ x.T <= high).all() and grid.cells(x).max() < 1 << bits
 
 
 def plain_lines(rows):
