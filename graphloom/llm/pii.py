@@ -1,27 +1,36 @@
 """PII by information-theoretic sanitisation.
 
 Base spans are direct identifiers, found by rule: e-mail addresses, IP addresses, card and
-phone numbers. They are the protected entities. Terms that stand in an entity's documents may
-reveal it: for entity e and term t, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) is the information
-that t gives about e, out of IC(e) = log2(N / n(e)) in all. n(e,t) counts the documents that hold
-both, wherever in the text, n(t) and n(e) those that hold t and e at all, over the whole
-corpus. One document shows no tie, so n(e,t) is 2 or more; below FIRM the count is little evidence
-and PMI is smoothed: DOUBT of a document more is taken to hold t without e. A term that
-gives THRESHOLD of an entity's information is disclosing; wherever it stands, it is a span of the
-kind "term", to be removed, and base spans are generalised to their kind.
-
-Entities of a single document are dropped before pairs are made.
+phone numbers. Three kinds of facts are protected: that a text holds an identifier of a class
+(an address, a card, ...), the identifier itself, and, as the names of people and firms are, its parts.
+Terms that stand beside them may reveal them: for a protected entity e and a term t,
+PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) is the information that t gives about e, out of
+IC(e) = log2(N / n(e)) in all. n(t) and n(e) count the documents that hold t and e at all, over the
+whole corpus, and n(e,t) those where t is tied to e:
+
+- a class, by its context: t is one of the WINDOW terms before or after an identifier of the class, in
+  MIN_TOGETHER documents or more. So an address that occurs once is protected, too;
+- an identifier, by its company: t stands anywhere in a document that holds it, in MIN_TOGETHER
+  documents or more, as one document shows no tie;
+- an identifier, by its parts: t is one of the words in it (of three letters or more) and stands
+  outside of it in a document that holds it; one document is enough, as the spelling is the tie.
+
+Below FIRM documents a count is little evidence and the first two are smoothed: DOUBT of a document more is
+taken to hold t without e. A term that gives THRESHOLD of an entity's information is disclosing;
+wherever it stands, it is a span of the kind "term", to be removed, and base spans are
+generalised to their kind. All counts are aggregated by entity and term before they meet.
 
 Disclosing terms are broadcast as 64-bit hashes while there are at most MAX_TERMS (16 MB); beyond
 that, documents' terms are joined with them by shuffle. Both give the same spans.
 
 Defined results: a null text is empty; a term that overlaps a base span stays part of that
 span; repeated rows are counted and scanned one by one; an empty table gives an empty result;
-other columns are kept by find().
+other columns are kept by find(), but one named spans gives way to its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_TOGETHER = 2
+MIN_TOGETHER, WINDOW = 2, 5
 FIRM, DOUBT = 5, 0.5
 THRESHOLD = 0.9
 MAX_TERMS = 2_000_000
@@ -105,32 +114,60 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
     return out
 
 
-def entities(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
-    """The hashes of a text's entities."""
-    return {xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")) for a, k, b in spans}
+def entity(text: str, span: tuple[int, int, int]) -> int:
+    """The hash of an identifier."""
+    a, k, b = span
+    return xxhash.xxh3_64_intdigest(f"{k}:{text[a:b].lower()}".encode("utf-8", "surrogatepass"))
+
+
+def ties(text: str) -> tuple[set, set, set, set, set] | None:
+    """Of a text with identifiers: identifiers, classes, terms outside, (class, term) in context,
+    (identifier, term) by its parts; terms and identifiers as hashes."""
+    if not (spans := base_spans(text)):
+        return None
+    terms = _terms(text, spans)
+    hashes, starts = [_hash(m[0]) for m in terms], [m.start() for m in terms]
+    outside, near, parts = set(hashes), set(), set()
+    for span in spans:
+        a, k, b = span
+        before, after = bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)
+        near |= {(k, t) for t in hashes[max(0, before - WINDOW) : before] + hashes[after : after + WINDOW]}
+        words = {_hash(m[0]) for m in _TERM.finditer(text[a:b]) if len(m[0]) > 2 and not m[0].isdigit()}
+        parts |= {(entity(text, span), t) for t in words & outside}
+    return {entity(text, s) for s in spans}, {s[1] for s in spans}, outside, near, parts
 
 
 def fit(docs: DataFrame, min_together: int = MIN_TOGETHER, threshold: float = THRESHOLD) -> DataFrame:
     """term: the hashes of the disclosing terms, a written table."""
     text_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    longs = lambda values: np.array(sorted(values), dtype=np.uint64).view(np.int64)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            es, ts = [], []
+            out = []
             for text in pdf["text"]:
-                if text and (spans := base_spans(text)):
-                    es.append(np.array(sorted(entities(text, spans)), dtype=np.uint64).view(np.int64))
-                    ts.append(np.array(sorted({_hash(m[0]) for m in _terms(text, spans)}), dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"e": pd.Series(es, dtype=object), "t": pd.Series(ts, dtype=object)})
+                if text and (tied := ties(text)):
+                    es, kinds, outside, near, parts = tied
+                    near, parts = sorted(near), sorted(parts)
+                    out.append((longs(es), sorted(kinds), longs(outside), [k for k, _ in near], [t - (t >> 63 << 64) for _, t in near], [e - (e >> 63 << 64) for e, _ in parts], [t - (t >> 63 << 64) for _, t in parts]))
+            yield pd.DataFrame(out, columns=["e", "kinds", "t", "nk", "nt", "pe", "pt"])
 
     # the documents that hold entities, numbered when they are written
-    own = materialize(texts.mapInPandas(found, "e array<long>, t array<long>").withColumn("r", F.monotonically_increasing_id()))
+    kinds = "e array<long>, kinds array<long>, t array<long>, nk array<long>, nt array<long>, pe array<long>, pt array<long>"
+    own = materialize(texts.mapInPandas(found, kinds).withColumn("r", F.monotonically_increasing_id()))
     each = own.select("r", F.explode("e").alias("e"))
-    n_e = materialize(each.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_together))
-    shared = each.join(n_e, "e").groupBy("r").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))
-    both = own.select("r", "t").join(shared, "r").select(F.explode("es").alias("x"), "t").select("x.e", "x.n_e", F.explode("t").alias("t"))
-    both = materialize(both.groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_together))
+    n_e = materialize(each.groupBy("e").agg(F.count("*").alias("n_e")))
+    shared = each.join(n_e.filter(F.col("n_e") >= min_together), "e").groupBy("r").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))
+    company = own.select("r", "t").join(shared, "r").select(F.explode("es").alias("x"), "t").select("x.e", "x.n_e", F.explode("t").alias("t"))
+    company = company.groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_together)
+    n_k = own.select(F.explode("kinds").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    pairs = lambda a, b: own.select(F.explode(F.arrays_zip(a, b)).alias("x")).groupBy(F.col(f"x.{a}").alias("e"), F.col(f"x.{b}").alias("t")).agg(F.count("*").alias("n_et"))
+    context = pairs("nk", "nt").filter(F.col("n_et") >= min_together).join(n_k, "e")
+    parts = pairs("pe", "pt").join(n_e, "e")
+    doubt = F.when(F.col("n_et") < FIRM, F.lit(DOUBT)).otherwise(0.0)
+    columns = ("n_e", "t", "n_et")
+    both = materialize(company.union(context.select("e", *columns)).select(*columns, doubt.alias("doubt")).union(parts.select(*columns, F.lit(0.0))))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,7 +178,7 @@ def fit(docs: DataFrame, min_together: int = MIN_TOGETHER, threshold: float = TH
     n_docs = docs.count()
     frequency = texts.mapInPandas(held, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     rows = both.join(frequency, "t").withColumn("N", F.lit(n_docs))
-    information = F.expr(f"log2(N * double(n_et) / (double(n_e) * (n_t + if(n_et < {FIRM}, {DOUBT}D, 0D))))")
+    information = F.expr("log2(N * double(n_et) / (double(n_e) * (n_t + doubt)))")
     whole = F.expr("log2(N / double(n_e))")
     return materialize(rows.filter((whole > 0) & (information >= threshold * whole)).select(F.col("t").alias("term")).distinct())
 
@@ -157,8 +194,10 @@ def find(docs: DataFrame, terms: DataFrame, max_terms: int = MAX_TERMS) -> DataF
     """docs with the added column spans: kind:start:end of all spans, in code points, end
     exclusive, by start, then kind, comma-joined."""
     text = F.col("text").cast("string")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "spans"])
+    text_batches(docs.sparkSession)
     if terms.count() <= max_terms:
-        held = docs.sparkSession.sparkContext.broadcast(np.array([r[0] for r in terms.collect()], dtype=np.int64).view(np.uint64))
+        held = docs.sparkSession.sparkContext.broadcast(terms.toArrow()["term"].to_numpy().view(np.uint64))
 
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             disclosing = set(held.value.tolist())

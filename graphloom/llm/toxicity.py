@@ -12,7 +12,8 @@ receives at most 2 * TRAIN_ROWS rows of coordinates. Scores read nothing but the
 Defined results: a null, empty or wordless text has the score of the intercept alone; labels
 that are null, and labelled rows without a document, teach nothing; without any label, or
 with labels of one kind only, scores are constant (0 or 1 side of 0.5 by the labels, 0 where there
-are none); repeated rows are scored one by one; other columns are kept by score().
+are none); repeated rows are scored one by one; other columns are kept by score(), but one of the
+name of its own gives way to it.
 """
 
 from __future__ import annotations
@@ -127,7 +128,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             sums = np.array([w[features(t)].sum() for t in s], dtype=np.float64) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
-    return docs.withColumn(name, F.pandas_udf(run, T.DoubleType())(F.col("text").cast("string")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return docs.select(*kept, F.pandas_udf(run, T.DoubleType())(F.col("text").cast("string")).alias(name))
 
 
 def held_out():

@@ -273,7 +273,7 @@ def test_toxicity(spark):
             words[5:8] = ["vile", "scummy", "awful"]
         rows.append((i, " ".join(words), "s"))
         labels.append((i, toxic))
-    docs = frame(spark, [*rows, (1000, None, "s"), (None, "", None), rows[0]]).drop("score")
+    docs = frame(spark, [*rows, (1000, None, "s"), (None, "", None), rows[0]])
     held = spark.createDataFrame([*labels, (5000, 1), (None, 1), (6000, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, held.filter(~toxicity.held_out()))
     assert len(model.index) < 2000
@@ -284,7 +284,7 @@ def test_toxicity(spark):
     for few in (held.filter("toxic = 0"), held.filter("toxic = 1"), held.limit(0)):
         constant = toxicity.score(docs, toxicity.fit(docs, few)).select("score").distinct().collect()
         assert len(constant) == 1
-    assert toxicity.score(empty(spark).drop("score"), model).count() == 0
+    assert toxicity.score(empty(spark), model).count() == 0
 
 
 def test_licenses(spark, docs):
@@ -351,14 +351,15 @@ def test_base_spans():
 
 def test_pii(spark, docs):
     secret = [(1000 + i, f"zanzibar writes to boss@corp.example.org {w} and more", None) for i, w in enumerate(WORDS[:8])]
-    every = docs.drop("spans").union(frame(spark, [*secret, (2000, "alone zanzibar speaks", None), (2001, PII, None)]).drop("spans"))
+    every = docs.union(frame(spark, [*secret, (2000, "alone zanzibar speaks", None), (2001, PII, None)]))
     terms = pii.fit(every)
     a = pii.find(every, terms)
     b = pii.find(every, terms, max_terms=0)
     pairs = [Counter((r["doc_id"], r["text"], r["spans"]) for r in x.collect()) for x in (a, b)]
     assert pairs[0] == pairs[1]
     spans = {r["doc_id"]: r["spans"] for r in a.collect()}
-    assert spans[2001].startswith("email:5:27,ip:")
+    # Mail is a word of the address itself
+    assert spans[2001].startswith("term:0:4,email:5:27,ip:")
     assert "term:0:8" in spans[1000]  # the name beside the address gives it away
     assert spans[1] == "" and spans[2] == ""
     got = {r["doc_id"]: r for r in pii.digest(a).collect()}
@@ -366,7 +367,7 @@ def test_pii(spark, docs):
     assert got[2001]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert (got[2001]["n_email"], got[2001]["n_ip"], got[2001]["n_card"], got[2001]["n_phone"]) == (1, 2, 1, 1)
     assert "boss@" not in pii.sanitise(secret[0][1], spans[1000]) and "zanzibar" not in pii.sanitise(secret[0][1], spans[1000])
-    assert pii.digest(pii.find(empty(spark).drop("spans"), pii.fit(empty(spark)))).count() == 0
+    assert pii.digest(pii.find(empty(spark), pii.fit(empty(spark)))).count() == 0
 
 
 def test_pii_of_few_documents(spark, docs):
@@ -375,13 +376,52 @@ def test_pii_of_few_documents(spark, docs):
     rows = [(3000 + i, f"quagga signs {gap} {w} rare@corp.example.org", None) for i, w in enumerate(WORDS[300:304])]
     rows += [(3100 + i, f"okapi writes at length {gap} {w} 10.1.2.3", None) for i, w in enumerate(WORDS[310:312])]
     rows += [(3200, "once tapir and only@corp.example.org", None)]
-    every = docs.drop("spans").union(frame(spark, rows).drop("spans"))
+    every = docs.union(frame(spark, rows))
     spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find(every, pii.fit(every)).collect()}
     assert all("term:0:6" in spans[3000 + i] for i in range(4)) and all("term:0:5" in spans[3100 + i] for i in range(2))
     assert not any(s.startswith("term:5:10") for s in spans[3200])  # one document shows no tie
     assert not any(s.startswith("term:13:") for s in spans[3000])  # a word of many other documents
 
 
+def test_pii_terms_match_plain_pmi(spark):
+    """Disclosing terms by the formula, over single addresses with a tell-tale context, names that stand in
+    addresses, and addresses of several documents."""
+    import math
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(WORDS, [1 / (i + 1) for i in range(len(WORDS))], k=40)) for _ in range(300)]
+    for i in range(0, 60):
+        words = texts[i].split()
+        kind = i % 3
+        words[20:20] = [("writeme" if i % 4 else "w1") + f" p{i}.q@h{i}.example.org", f"dial +1 (988) 555-{1000 + i}", f"host 10.0.{i}.7 port"][kind].split(" ")
+        texts[i] = " ".join(words)
+    texts += [f"mozart wrote w{i} to w3 {'mozart' if i % 2 else 'liszt'}.w2@wien.example.org w5" for i in range(2)]
+    texts += [f"verdi {w} same@corp.example.org" for w in ("w1", "w2", "w9")] + [f"rossini {w}" for w in WORDS[:4]]
+    N, n_t, n_e, tied = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        n_t.update({x.lower() for x in re.findall(r"[^\W_]+", t)})
+        spans = plain_spans(t)
+        outside = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        pairs, es = set(), set()
+        for a, k, b in spans:
+            es |= {("class", k), (k, t[a:b].lower())}
+            pairs |= {("context", ("class", k), x) for x in [x for s, x in outside if s < a][-5:] + [x for s, x in outside if s >= b][:5]}
+            pairs |= {("company", (k, t[a:b].lower()), x) for _, x in outside}
+            pairs |= {("parts", (k, t[a:b].lower()), x) for _, x in outside if x in re.findall(r"[^\W_]+", t[a:b].lower()) and len(x) > 2 and not x.isdigit()}
+        n_e.update(es)
+        tied.update(pairs)
+    expected = set()
+    for (how, e, t), n in tied.items():
+        if n >= (1 if how == "parts" else 2) and n_e[e] < N:
+            doubt = 0.5 if n < 5 and how != "parts" else 0
+            if math.log2(N * n / (n_e[e] * (n_t[t] + doubt))) >= 0.9 * math.log2(N / n_e[e]):
+                expected.add(t)
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    got = {r["term"] % (1 << 64) for r in pii.fit(docs).collect()}
+    assert got == {pii._hash(t) for t in expected}
+    assert {"writeme", "dial", "host", "port", "mozart", "verdi"} <= expected and not {"rossini", "w1", "liszt"} & expected
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
