@@ -4,16 +4,21 @@ The model is trained on all trusted text (documents labelled of good quality). C
 highest order are summed over the corpus, sharded by n-gram; lower orders are continuation
 counts, each an aggregation of the table above it; probabilities and backoff weights come from
 joins of these tables by n-gram, suffix and context. A document's perplexity is over its
-whole lower-cased text, and it is kept if that is within the QUANTILE of the trusted documents of
-its language. Characters, not words: their tables follow the alphabet, so that pre-aggregated
-counts are small against the text, and words that are new but regular are no surprise.
-
-While the tables have at most MAX_ROWS rows (64 MB) they are broadcast; beyond that, documents'
-n-gram counts are joined with the sharded tables. Both give the same perplexities.
+whole text, with its capitals, as shouting is a sign of poor text. One trusted document in HELD,
+by a hash of its id, is kept from training. A document is kept if its perplexity lies between two
+quantiles of its language: 1 - QUANTILE of all trusted ones, as the model knows most of them well, and
+QUANTILE of the held-out ones, which are as new to the model as any other (or of all, if that is
+more, as it may be where few are held out). Below are texts that repeat
+themselves, above those that are no prose. Characters, not words: their tables follow the alphabet, so that pre-aggregated counts are
+small against the text, and words that are new but regular are no surprise.
+
+While the tables have at most MAX_ROWS rows (128 MB) they are broadcast; beyond that, documents'
+n-gram counts are joined with the sharded tables. Both compute in double precision and give the same
+perplexities.
 
 Defined results: a null or empty text has the perplexity of the size of the alphabet; a
-language without trusted text (or null) takes the quantile of all trusted text; without any
-trusted text everything is kept; repeated rows are scored one by one; an empty table gives an
+language without held-out trusted text (or null) takes the quantiles of all of it; without any
+held-out trusted text everything is kept; repeated rows are scored one by one; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -25,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, text_batches
 from .fingerprints import only
 
 ORDER = 5
-QUANTILE = 0.995
+QUANTILE, HELD = 0.995, 5
 MAX_ROWS = 4_000_000
 START = "\x00"
 CHUNK = 1 << 20
@@ -47,7 +52,7 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _grams(text: str | None, order: int) -> list[str]:
-    text = (text or "").lower()
+    text = text or ""
     padded = START * (order - 1) + text
     return [padded[i : i + order] for i in range(len(text))]
 
@@ -131,7 +136,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 2)))
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float64)
         left, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
         while len(left):
             slot = at[left]
@@ -184,7 +189,7 @@ class Model:
         self.p, self.b = {}, {0: 0.0}
         for kind, held in (("p", self.p), ("b", self.b)):
             for n, own in rows[rows["kind"] == kind].groupby("n"):
-                values = own["value"].to_numpy(dtype=np.float32)
+                values = own["value"].to_numpy(dtype=np.float64)
                 held[int(n)] = Table(own["hash"].to_numpy().view(np.uint64), values) if n else float(values[0])
 
     def log_p(self, points: np.ndarray) -> np.ndarray:
@@ -206,10 +211,10 @@ class Model:
 
 
 def _perplexity(model: Model, texts: list[str]) -> np.ndarray:
-    lower = [(t or "").lower() for t in texts]
+    whole = [t or "" for t in texts]
     start = START * (model.order - 1)
-    points = _points("".join(start + t for t in lower) or start)
-    sizes = np.array([len(t) for t in lower])
+    points = _points("".join(start + t for t in whole) or start)
+    sizes = np.array([len(t) for t in whole])
     ends = np.cumsum(sizes + model.order - 1)
     log_p = model.log_p(points) if len(points) >= model.order else np.zeros(0)
     sums = np.concatenate([[0.0], np.cumsum(log_p)])
@@ -272,12 +277,19 @@ def _score_sharded(rows: DataFrame, table: DataFrame) -> DataFrame:
     return keyed.join(sums, "key", "left").select("doc_id", "lang", F.exp(-F.coalesce("mean", F.lit(uniform))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, kept."""
-    scored = materialize(score(docs, train(trusted)))
+def held_out(held: int = HELD) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("held")), F.lit(held)) == 0
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, held: int = HELD) -> DataFrame:
+    """doc_id, lang, perplexity, least, threshold, kept."""
+    scored = materialize(score(docs, train(trusted.filter(~held_out(held)))))
     known = scored.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
-    q = F.percentile_approx("perplexity", quantile, 10000)
+    low, most = (F.percentile_approx("perplexity", x, 10000) for x in (1 - quantile, quantile))
+    high = F.percentile_approx(F.when(held_out(held), F.col("perplexity")), quantile, 10000)
+    q = F.when(high.isNotNull(), F.array(low, F.greatest(high, most)))
     by_lang = known.filter("lang is not null").groupBy(F.col("lang").alias("__lang")).agg(q.alias("__own"))
     every = known.agg(q.alias("q")).scalar()
-    out = scored.join(by_lang, F.col("lang") == F.col("__lang"), "left").withColumn("threshold", F.coalesce("__own", every))
-    return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    out = scored.join(by_lang, F.col("lang") == F.col("__lang"), "left").withColumn("__q", F.coalesce("__own", every))
+    kept = F.coalesce(F.col("perplexity").between(F.get("__q", F.lit(0)), F.get("__q", F.lit(1))), F.lit(True))
+    return out.select("doc_id", "lang", "perplexity", F.get("__q", F.lit(0)).alias("least"), F.get("__q", F.lit(1)).alias("threshold"), kept.alias("kept"))

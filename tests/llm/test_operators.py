@@ -585,12 +585,55 @@ def test_quality(spark):
     assert sum(got[i]["kept"] for i, _, _ in good) >= 78 and not any(got[i]["kept"] for i, _, _ in bad)
     table = quality.train(trusted)
     a, b = (dict(quality.score(docs.filter("doc_id is not null"), table, m).select("doc_id", "perplexity").collect()) for m in (10**9, 0))
-    assert all(abs(a[i] - b[i]) < 1e-3 * b[i] for i in b) and set(a) == set(b)
+    assert all(abs(a[i] - b[i]) < 1e-9 * b[i] for i in b) and set(a) == set(b)
     p = table.filter("kind = 'p'").withColumn("ctx", F.expr("substring(g, 1, length(g) - 1)")).withColumn("n", F.length("g"))
     assert p.filter("n = 5").groupBy("ctx").agg(F.sum(F.exp("value")).alias("s")).filter("s > 1.000001").count() == 0
     assert quality.classify(docs, quality.trusted(docs, labels.limit(0))).filter("kept").count() == docs.count()
 
 
+def plain_kneser_ney(texts, order):
+    """log P(letter | the order - 1 before it), by recursion over counted n-grams."""
+    import math
+
+    c = {order: Counter(g for t in texts for g in quality._grams(t, order))}
+    for n in range(order - 1, 0, -1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+    d = {}
+    for n in c:
+        few = Counter(c[n].values())
+        y = few[1] / (few[1] + 2 * few[2]) if few[1] else 0
+        d[n] = [min(max(i - (i + 1) * y * few[i + 1] / few[i], 0.05), i) for i in (1, 2, 3)] if all(few[i] for i in (1, 2, 3, 4)) else [0.5, 0.75, 0.9]
+    ctx = {n: {} for n in c}
+    for n in c:
+        for g, k in c[n].items():
+            ctx[n].setdefault(g[:-1], []).append(k)
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(c[1]) + 1)
+        if g[:-1] not in ctx[n]:
+            return p(g[1:])
+        held = ctx[n][g[:-1]]
+        cut = lambda k: d[n][min(k, 3) - 1]
+        k = c[n].get(g, 0)
+        return (max(k - cut(k), 0) / sum(held) if k else 0) + sum(map(cut, held)) / sum(held) * p(g[1:])
+
+    return lambda t: math.exp(-sum(math.log(p(g)) for g in quality._grams(t, order)) / len(t))
+
+
+def test_quality_matches_plain_kneser_ney(spark):
+    rng = random.Random(14)
+    parts = ["the cat", "sat on", "A warm mat", "and slept", "été", "so"]
+    texts = [" ".join(rng.choices(parts, [5, 4, 3, 2, 1, 1], k=rng.randint(1, 30))) for _ in range(60)]
+    table = quality.train(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    asked = [*texts[:20], "the dog sat", "ZZZ!", "a", "mat mat mat mat"]
+    plain = plain_kneser_ney(texts, quality.ORDER)
+    for most in (10**9, 0):
+        got = {r["doc_id"]: r["perplexity"] for r in quality.score(frame(spark, [(i, t, "s") for i, t in enumerate(asked)]), table, most).collect()}
+        assert all(abs(got[i] - plain(t)) < 1e-9 * got[i] for i, t in enumerate(asked))
+
+
 def test_mixing(spark, docs):
     took = mixing.allot(docs).collect()
     sizes, per = Counter(), Counter()
