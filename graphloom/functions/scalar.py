@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 SLOPES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.33, 1.67, 2.0)
 
 
+#: Draws are whole numbers below this prime.
+PRIME = 2147483647
+
+
+def draw(x: Column, *salts: int) -> Column:
+    """A repeatable draw below PRIME for a whole number that is not negative: steps modulo a prime, which
+    any SQL engine computes alike."""
+    salt = sum(s * m for s, m in zip(salts, (16807, 48271, 39373), strict=False)) % PRIME
+    h = (F.pmod(x, F.lit(PRIME)).cast("long") * 48271 + (salt + 11)) % PRIME
+    h = (h * h + (salt * 3 + 7)) % PRIME
+    h = (h * 69621 + 13) % PRIME
+    return (h * h + h) % PRIME
+
+
 def logistic(x: Column, slope: Column | float = 1.0, scale: float = 0.5) -> Column:
     slope = slope if isinstance(slope, Column) else F.lit(float(slope))
     return 1.0 / (1.0 + F.exp(-slope * (x - scale)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import logistic, sigmoid_cutoff
+from ..functions.scalar import PRIME, draw, logistic, sigmoid_cutoff
 from ..sources.scratch import materialize
 
 
@@ -33,9 +33,15 @@ def index(edges: DataFrame) -> DataFrame:
 
 
 def by_index(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges between numbers; a name that the index lacks drops its edge."""
+    """Edges between numbers; a name that the index lacks is an error, a null end drops its edge."""
     a, b = (vertices.select(F.col("name").alias(n), F.col("id").alias(i)) for n, i in (("src", "__a"), ("dst", "__b")))
-    return edges.join(a, "src").join(b, "dst").select(F.col("__a").alias("src"), F.col("__b").alias("dst"), "w")
+
+    def found(name: str, number: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit("the index has no vertex "), F.col(name))).cast("long")
+        return F.when(F.col(number).isNull(), missing).otherwise(F.col(number)).alias(name)
+
+    ends = edges.filter("src is not null and dst is not null")
+    return ends.join(a, "src", "left").join(b, "dst", "left").select(found("src", "__a"), found("dst", "__b"), "w")
 
 
 def adjacency(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -95,5 +101,5 @@ def reweighted(adj: DataFrame, slope: float, cutoff: float = 0.2) -> DataFrame:
 def sampled(adj: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """Each edge with the probability most / degree of its source; off unless it is called."""
     joined = adj.join(degrees(adj).withColumnRenamed("src", "__s"), F.col("src") == F.col("__s"))
-    u = F.pmod(F.xxhash64("src", "dst", "w", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = draw(F.col("src") * 31 + F.col("dst"), seed) / float(PRIME)
     return joined.filter(u < F.lit(float(most)) / F.col("degree")).select("src", "dst", "w")

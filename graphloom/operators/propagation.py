@@ -7,15 +7,20 @@ were last tried; when none is left, the labelling is a fixed point."""
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..functions.scalar import draw
+from ..sources.scratch import discard, materialize
 from . import graph
 
-#: Rounds after which propagation stops in any case.
+log = logging.getLogger(__name__)
+
+#: Rounds after which propagation stops in any case (a directed graph may go round for ever); the
+#: result says whether it converged.
 MAX_ROUNDS = 200
 
 
@@ -76,22 +81,25 @@ class Result:
 
 def propagate(adj: DataFrame, labels: DataFrame, max_rounds: int | None = None, seed: int = 0, random_ties: bool = False) -> Result:
     """Rounds until a fixed point, or max_rounds. adj must be a written table."""
-    state = materialize(labels.withColumn("pending", F.lit(True)))
+    state = materialize(labels.select("v", "cluster", F.lit(False).alias("changed"), F.lit(True).alias("left")))
     changes: list[int] = []
     for r in range(max_rounds or MAX_ROUNDS):
-        half = F.pmod(F.xxhash64("v", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2
-        turn = state.filter(F.col("pending") & half).select(F.col("v").alias("src"))
+        half = draw(F.col("v"), seed, r // 2) % 2 == r % 2
+        pending = state.select("v", "cluster", F.col("left").alias("pending"))
+        if changes and changes[-1]:  # the neighbours of what has changed are to be tried
+            near = adj.join(state.filter("changed").select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v")).distinct().withColumn("near", F.lit(True))
+            pending = state.join(near, "v", "left").select("v", "cluster", (F.col("left") | F.coalesce("near", F.lit(False))).alias("pending"))
+        turn = pending.filter(F.col("pending") & half).select(F.col("v").alias("src"))
         ties = F.xxhash64("src", "cluster", F.lit(seed), F.lit(r)) if random_ties else None
-        best = argmax(tally(adj.join(turn, "src", "left_semi"), state), state, ties)
-        new = best.select("v", F.col("cluster").alias("new"))
-        state2 = state.join(new, "v", "left").select("v", F.coalesce("new", "cluster").alias("cluster"), (F.coalesce(F.col("new") != F.col("cluster"), F.lit(False))).alias("changed"), (F.col("pending") & ~half).alias("left"))
-        state2 = materialize(state2)
-        near = adj.join(state2.filter("changed").select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v")).distinct().withColumn("near", F.lit(True))
-        state = materialize(state2.join(near, "v", "left").select("v", "cluster", "changed", (F.col("left") | F.coalesce("near", F.lit(False))).alias("pending")))
-        n_changed, n_pending = state.agg(F.count_if("changed"), F.count_if("pending")).first()
-        state = state.select("v", "cluster", "pending")
+        best = argmax(tally(adj.join(turn, "src", "left_semi"), state), state, ties).select("v", F.col("cluster").alias("new"))
+        changed = F.coalesce(F.col("new") != F.col("cluster"), F.lit(False))
+        after = materialize(pending.join(best, "v", "left").select("v", F.coalesce("new", "cluster").alias("cluster"), changed.alias("changed"), (F.col("pending") & ~half).alias("left")))
+        n_changed, n_left = after.agg(F.count_if("changed"), F.count_if("left")).first()
+        discard(state)
+        state = after
         changes.append(n_changed)
-        if not n_pending:
+        log.info("round %d: %d vertices changed, %d wait for their turn", r + 1, n_changed, n_left)
+        if not n_changed and not n_left:
             return Result(state.select("v", "cluster"), r + 1, changes, True)
     return Result(state.select("v", "cluster"), len(changes), changes, False)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import number
+
 #: Rows of a block of vectors that are compared with another block at once.
 BLOCK = 4096
 
@@ -59,6 +61,14 @@ def embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for classification: four numbers and the return flag; id is the order and line."""
+    """Rows for classification: four numbers and the return flag. id is made of the order and line, and
+    repeated where the table repeats them; numbered_returns() has ids of its own."""
     rows = table(spark, sf_dir, "lineitem")
     return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+
+
+def numbered_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """returns() with ids from 0, in the order of all columns, so that rows are drawn one by one."""
+    rows = returns(spark, sf_dir).withColumnRenamed("id", "key")
+    order = [F.col(c) for c in ("key", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")]
+    return number(rows, order).drop("key")

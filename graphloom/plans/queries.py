@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import cluster_edge_lists, cluster_graph
 from ..functions.scalar import ACTIVATIONS, LOSSES, gini
 from ..operators import consensus, forest, graph, mlp, splits
 from ..operators import propagation as lp
@@ -116,6 +117,16 @@ def sigmoid_rescaled_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rescaled_cutoff(adj, 2.0, 0.55).select("src", "dst", F.round("w", 6).alias("w"))
 
 
+def sigmoid_negative_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adj = graph.adjacency(graphs.supplier_part(spark, sf_dir))
+    return graph.reweighted(adj, -1.0).select("src", "dst", "w")
+
+
+def edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by number, each with the probability 5 / degree of its source."""
+    return graph.sampled(_ga(spark, sf_dir)[1], 5)
+
+
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_discount") * 40 - 2
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
@@ -193,6 +204,23 @@ def lp_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(lp.relabel_dense(lp.propagate(adj, lp.start(adj, vertices)).labels), vertices)
 
 
+def flp_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole call for a graph in memory: maxima to 1, loops of 0.5, until nothing changes."""
+    found = cluster_graph(graphs.customer_supplier(spark, sf_dir), self_loops=True)
+    return found.select(F.col("Vertex").alias("name"), F.col("Cluster").alias("cluster"))
+
+
+def flp_out_of_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole call for edge-list files: sums to 1, until nothing changes, cluster table written and read."""
+    path = io.write_edges(graphs.supplier_part(spark, sf_dir), scratch_path(spark))
+    return cluster_edge_lists(spark, path).select(F.col("Vertex").alias("name"), F.col("Cluster").alias("cluster"))
+
+
+def flp_consensus_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_graph(graphs.embedding_graph(spark, sf_dir), consensus=True)
+    return found.select(F.col("Vertex").alias("name"), F.col("Cluster").alias("cluster"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The labels after rounds 1, 2 and 3 as three runs."""
     vertices, adj = _ga(spark, sf_dir)
@@ -301,7 +329,7 @@ def tree_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(graphs.returns(spark, sf_dir).select("id"))
+    rows = materialize(graphs.numbered_returns(spark, sf_dir).select("id"))
     out = None
     for t in range(3):
         for kind in (True, False):
@@ -320,6 +348,44 @@ def forest_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voted.select("vec_id", "label", forest.predicted_class(model, voted).alias("predicted"))
 
 
+def forest_votes_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a trained forest's votes must be: shares that sum to 1 over all classes."""
+    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    model = forest.fit(rows, FEATURES, "l_returnflag", "id", ntree=5, nodesize=50, seed=3)
+    voted = forest.predict(model, rows, FEATURES)
+    return voted.select("id", F.round(sum(F.col(c) for c in FLAGS), 9).alias("votes"), F.lit(len(model.classes)).alias("classes"))
+
+
+def _nodes(model: forest.Forest, spark: SparkSession) -> DataFrame:
+    t = model.table(spark)
+    return t.select("node_id", "feature", F.round("threshold", 6).alias("threshold"), F.round("leaf_value", 4).alias("leaf_value"))
+
+
+def tree_fit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a grown tree of depth 1 over all rows and features."""
+    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    return _nodes(forest.fit(rows, FEATURES, "l_returnflag", "id", ntree=1, mtry=4, replace=False, sampsize=rows.count(), max_depth=1), spark)
+
+
+def tree_fit_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    return _nodes(forest.fit(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "id", ntree=1, mtry=3, replace=False, sampsize=rows.count(), max_depth=1), spark)
+
+
+def forest_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by three features: predictions of a regression forest lie within the range of the prices."""
+    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    model = forest.fit(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "id", ntree=5, mtry=3, nodesize=50, max_depth=5, seed=199)
+    least, most = rows.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    return forest.predict(model, rows, model.columns).select("id", F.col("prediction").between(least, most).alias("within"))
+
+
+def dendrogram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing of the fixed trees: leaves below, height and midpoint of each node."""
+    rows = [(i, k, n["members"], n["height"], n["midpoint"]) for i in range(len(FIXED.trees)) for k, n in enumerate(FIXED.dendrogram(i))]
+    return spark.createDataFrame(rows, "tree_id int, node_id int, members int, height double, midpoint double")
+
+
 _NET = mlp.Network(
     [np.array([[0.5, -0.25, 0.75, 0.1], [-0.6, 0.4, 0.2, -0.3], [0.3, 0.3, -0.5, 0.8]]), np.array([[0.7, -0.2, 0.4]])],
     [np.array([0.1, -0.2, 0.05]), np.array([-0.1])],
@@ -344,21 +410,25 @@ def mlp_loss_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.round(F.avg("l"), 6).alias("loss"))
 
 
+MLP_PASSES = 3
+
+
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graphs.returns(spark, sf_dir).select("id", *[(F.col(c) / s).alias(c) for c, s in _SCALE.items()])
     rows = rows.withColumn("y", F.col("l_quantity") * 0.5 + F.col("l_discount") * 0.3)
-    net, _ = mlp.train(rows, FEATURES, ["y"], "id", [4], rate=0.5, epoch_size=max(1000, rows.count() // 8))
-    return mlp.predict(net, rows, FEATURES).select("id", F.get("output", F.lit(0)).alias("output"))
+    net, _ = mlp.train(rows, FEATURES, ["y"], "id", [4], rate=0.5, epoch_size=max(1, rows.count()), passes=MLP_PASSES)
+    return mlp.predict(net, rows, FEATURES).select("id", F.round(F.get("output", F.lit(0)), 6).alias("output"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         lp_round1, edges_supplier_part, edges_customer_supplier, edges_similarity, edgelist_roundtrip, edges_ignore_weights, vertex_index, vertex_degree, directed_out_degree, csr_offsets,
-        self_loops, self_loops_after_max_norm, weights_sum_norm, weights_max_norm, parallel_edge_tally, sigmoid_weights, sigmoid_rescaled_cutoff, activations, losses,
-        label_tally, label_argmax, frontier, lp_fixed_rounds, lp_directed_rounds, lp_strongest_start, relabel_dense, relabel_first_seen, community_sizes, deparse_communities, modularity, lp_converged,
+        self_loops, self_loops_after_max_norm, weights_sum_norm, weights_max_norm, parallel_edge_tally, sigmoid_weights, sigmoid_rescaled_cutoff, sigmoid_negative_slope, edge_sample, activations, losses,
+        label_tally, label_argmax, frontier, lp_fixed_rounds, lp_directed_rounds, lp_strongest_start, relabel_dense, relabel_first_seen, community_sizes, deparse_communities, modularity, lp_converged, flp_in_memory, flp_out_of_core, flp_consensus_rescaled,
         comembership_edges, comembership_pairs, consensus_weights, consensus_clusters, gini_impurity, gini_best_split, sse_best_split, majority_class, tabulate,
-        stump_classify, stump_regress, tree_predict_fixed, forest_vote_fraction, forest_mean, confusion_matrix, tree_describe, bootstrap_sizes, forest_train_predict,
+        stump_classify, stump_regress, tree_predict_fixed, forest_vote_fraction, forest_mean, confusion_matrix, tree_describe, bootstrap_sizes, forest_train_predict, forest_votes_sum,
+        tree_fit_classify, tree_fit_regress, forest_regression, dendrogram_nodes,
         mlp_forward_fixed, mlp_loss_fixed, mlp_train,
     )
 }

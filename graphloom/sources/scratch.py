@@ -43,6 +43,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The scratch paths given out so far, in order."""
+    return [path for _, path in _written]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of materialize() that nothing reads any more, ahead of the driver's end."""
     spark = df.sparkSession

@@ -128,3 +128,20 @@ def test_the_registered_consensus_runs_over_all_slopes(spark, sf_dir, monkeypatc
     monkeypatch.setattr(consensus, "comembership_edges", lambda adj, found, n: runs.append((n, found.select("run").distinct().count())) or plain(adj, found, n))
     assert queries.consensus_clusters(spark, sf_dir).count() > 0
     assert runs == [(len(SLOPES), len(SLOPES))] and len(SLOPES) == 9
+
+
+def test_missing_files_and_names_are_errors(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        io.read_edges(spark, [str(tmp_path / "nowhere.tsv")])
+    edges = frame(spark, [("a", "b", 1.0), ("b", "zz", 1.0)])
+    few = graph.index(edges).filter("name <> 'zz'")
+    with pytest.raises(Exception, match="no vertex zz"):
+        graph.by_index(edges, few).collect()
+
+
+def test_scratch_tables_of_a_call_are_removed(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("".join(f"{a}\t{b}\t{w}\n" for a, b, w in TRIANGLES))
+    left = lambda: {p for p in (tmp_path.parent / "..").resolve().glob("*/checkpoints/graphloom-*")}
+    before = left()
+    path = cluster_edge_lists(spark, str(tmp_path / "e.tsv"), outfile=str(tmp_path / "out"), return_table=False)
+    assert left() <= before and io.read_clusters(spark, path).count() == 6

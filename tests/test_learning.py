@@ -99,3 +99,54 @@ def test_the_registered_forest_uses_all_components(spark, tmp_path, monkeypatch)
     got = queries.forest_train_predict(spark, str(tmp_path)).toPandas()
     assert names == [f"x{i}" for i in range(64)]
     assert len(got) == 400 and (got["label"].astype(str) == got["predicted"]).mean() > 0.9
+
+
+def test_growing_matches_a_plain_search():
+    """Every split of a tree is the best one of its rows, by trying all."""
+    rng = np.random.default_rng(5)
+    x, w = rng.integers(0, 12, (150, 3)).astype(float), rng.integers(1, 3, 150).astype(float)
+    x[rng.random((150, 3)) < 0.05] = np.nan
+    for n_classes in (3, 0):
+        y = rng.integers(0, 3, 150).astype(float) if n_classes else rng.normal(size=150)
+
+        def spread(i):
+            if not n_classes:
+                return (w[i] * (y[i] - np.average(y[i], weights=w[i])) ** 2).sum()
+            return w[i].sum() * (1 - sum((w[i][y[i] == c].sum() / w[i].sum()) ** 2 for c in range(3)))
+
+        tree = forest.grow(x, y, w, n_classes, 3, 4, 4, 0)
+        at = [np.arange(150)] + [None] * (len(tree.feature) - 1)
+        for k in range(len(at)):
+            own = at[k]
+            best = 0.0
+            for f in range(3):
+                for v in np.unique(x[own, f][~np.isnan(x[own, f])]):
+                    goes = x[own, f] <= v
+                    if 0 < goes.sum() < len(own):
+                        best = max(best, spread(own) - spread(own[goes]) - spread(own[~goes]))
+            if tree.feature[k] < 0:
+                assert best < 1e-9 or w[own].sum() <= 4 or tree.depth[k] == 4 or len(np.unique(y[own])) == 1
+                continue
+            goes = x[own, tree.feature[k]] <= tree.threshold[k]
+            at[tree.left[k]], at[tree.left[k] + 1] = own[goes], own[~goes]
+            assert abs(spread(own) - spread(own[goes]) - spread(own[~goes]) - best) < 1e-9
+
+
+def test_formulas(spark):
+    rows = frame(spark)
+    assert forest.parse_formula("y ~ . - k", ["a", "b", "y", "k"]) == ("y", ["a", "b"])
+    a = forest.fit_formula("y ~ a + b", rows, "id", ntree=2, max_depth=3, seed=1)
+    b = forest.fit(rows, ["a", "b"], "y", "id", ntree=2, max_depth=3, seed=1)
+    assert a.table(spark).exceptAll(b.table(spark)).count() == 0
+    holed = rows.withColumn("a", F.when(F.col("id") > 9, F.col("a")))
+    assert forest.fit_formula("y ~ a", holed, "id", "model.frame").columns == ["id", "y", "a"]
+    assert forest.fit_formula("y ~ a", holed, "id", "model.frame").count() == rows.count() - 10
+    for bad in ("a + b", "y ~ nope"):
+        with pytest.raises(ValueError):
+            forest.fit_formula(bad, rows, "id")
+
+
+@pytest.mark.parametrize("kinds", [{"ntree": 0}, {"mtry": "two"}, {"nodesize": -1}, {"sampsize": float("nan")}, {"max_depth": True}, {"weights": "c"}, {"weights": "a"}])
+def test_numbers_are_checked(spark, kinds):
+    with pytest.raises(ValueError):
+        forest.fit(frame(spark), ["a"], "y", "id", **kinds)
