@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_batches, type_of
+from .common import fair_join, materialize, mix64, text_batches, type_of
 from .components import connected_components
 from .fingerprints import only
 
@@ -197,7 +197,8 @@ def near_links(docs: DataFrame, sig: DataFrame, width: int, rows: int = ROWS, n_
         raise ValueError("a mask has 64 bands")
     here = sig.filter("doc_id is not null and n > 0")
     classes = here.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = here.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"])
+    # dealt by the ids: by the digests, all copies of a text would go to one task
+    reps = here.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")).repartition("doc_id"), ["h1", "h2", "doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "bands"))
     members = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -239,6 +240,7 @@ def components(docs: DataFrame, width: int = 5, rows: int = ROWS, n_bands: int =
     sig = materialize(signatures(docs, width, rows, n_bands))
     classes, found = near_links(docs, sig, width, rows, n_bands, percent)
     classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
+    classes = materialize(classes.select("h1", "h2", "rep"))
+    out = fair_join(sig.select("doc_id", "n", "h1", "h2"), classes, "h1", "h2", how="left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
