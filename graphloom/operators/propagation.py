@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import draw
+from ..functions.scalar import PRIME, draw
 from ..sources.scratch import discard, materialize
 from . import graph
 
@@ -81,19 +81,23 @@ class Result:
 
 def propagate(adj: DataFrame, labels: DataFrame, max_rounds: int | None = None, seed: int = 0, random_ties: bool = False) -> Result:
     """Rounds until a fixed point, or max_rounds. adj must be a written table."""
-    state = materialize(labels.select("v", "cluster", F.lit(False).alias("changed"), F.lit(True).alias("left")))
+    # the draw of the halves is a column that each pair of rounds redraws from itself and the vertex, so
+    # that rounds are the same generated code
+    again = (draw(F.col("draw"), seed) + F.pmod(F.col("v"), F.lit(PRIME)) * 69621) % PRIME
+    state = materialize(labels.select("v", "cluster", draw(F.col("v"), seed).alias("draw"), F.lit(False).alias("changed"), F.lit(True).alias("left")))
     changes: list[int] = []
     for r in range(max_rounds or MAX_ROUNDS):
-        half = draw(F.col("v"), seed, r // 2) % 2 == r % 2
-        pending = state.select("v", "cluster", F.col("left").alias("pending"))
+        half = F.col("draw") % 2 == r % 2
+        pending = state.select("v", "cluster", "draw", F.col("left").alias("pending"))
         if changes and changes[-1]:  # the neighbours of what has changed are to be tried
             near = adj.join(state.filter("changed").select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v")).distinct().withColumn("near", F.lit(True))
-            pending = state.join(near, "v", "left").select("v", "cluster", (F.col("left") | F.coalesce("near", F.lit(False))).alias("pending"))
+            pending = state.join(near, "v", "left").select("v", "cluster", "draw", (F.col("left") | F.coalesce("near", F.lit(False))).alias("pending"))
         turn = pending.filter(F.col("pending") & half).select(F.col("v").alias("src"))
         ties = F.xxhash64("src", "cluster", F.lit(seed), F.lit(r)) if random_ties else None
         best = argmax(tally(adj.join(turn, "src", "left_semi"), state), state, ties).select("v", F.col("cluster").alias("new"))
         changed = F.coalesce(F.col("new") != F.col("cluster"), F.lit(False))
-        after = materialize(pending.join(best, "v", "left").select("v", F.coalesce("new", "cluster").alias("cluster"), changed.alias("changed"), (F.col("pending") & ~half).alias("left")))
+        drawn = again if r % 2 else F.col("draw")
+        after = materialize(pending.join(best, "v", "left").select("v", F.coalesce("new", "cluster").alias("cluster"), drawn.alias("draw"), changed.alias("changed"), (F.col("pending") & ~half).alias("left")))
         n_changed, n_left = after.agg(F.count_if("changed"), F.count_if("left")).first()
         discard(state)
         state = after

@@ -47,17 +47,17 @@ _MANY = 40
 
 
 def _converged(adj: str, start: str, p: str = "") -> str:
-    """l{p}{_MANY}: labels after so many rounds over adj (src, dst, w), in which halves drawn anew for each
-    pair of rounds move. start: a table with the vertices v."""
-    # the salt of a pair of rounds is its number times a constant
-    out = [
-        f"s{p} AS (SELECT v, k, (k * 48271) % {PRIME} AS salt FROM {start}, range({_MANY // 2}) AS r(k))",
-        _draws(f"s{p}", f"h{p}", "v", "salt", "v, k"),
+    """l{p}{_MANY}: labels after so many rounds over adj (src, dst, w), in which halves move that each pair of
+    rounds redraws. start: a table with the vertices v."""
+    out = [_draws(start, f"h{p}0", "v", "0", "v")]
+    for k in range(1, _MANY // 2):
+        out += [_draws(f"h{p}{k - 1}", f"i{p}{k}", "draw", "0", "v"), f"h{p}{k} AS MATERIALIZED (SELECT v, (draw + v % {PRIME} * 69621) % {PRIME} AS draw FROM i{p}{k})"]
+    out += [
         f"l{p}0 AS MATERIALIZED (SELECT v, v AS cluster FROM {start})",
     ]
     for r in range(_MANY):
         now = f"l{p}{r}"
-        tally = f"SELECT e.src, n.cluster, sum(e.w) AS w FROM {adj} e JOIN h{p} h ON h.v = e.src AND h.k = {r // 2} AND h.draw % 2 = {r % 2} JOIN {now} n ON n.v = e.dst GROUP BY e.src, n.cluster"
+        tally = f"SELECT e.src, n.cluster, sum(e.w) AS w FROM {adj} e JOIN h{p}{r // 2} h ON h.v = e.src AND h.draw % 2 = {r % 2} JOIN {now} n ON n.v = e.dst GROUP BY e.src, n.cluster"
         best = f"SELECT src, cluster FROM (SELECT t.src, t.cluster, row_number() OVER (PARTITION BY t.src ORDER BY round(t.w, 9) DESC, (t.cluster = m.cluster) DESC, t.cluster) AS r FROM ({tally}) t JOIN {now} m ON m.v = t.src) WHERE r = 1"
         out.append(f"l{p}{r + 1} AS MATERIALIZED (SELECT v, coalesce(b.cluster, o.cluster) AS cluster FROM {now} o LEFT JOIN ({best}) b ON o.v = b.src)")
     return ", ".join(out)
