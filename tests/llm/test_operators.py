@@ -287,6 +287,35 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_ftrl_matches_the_plain_algorithm():
+    """Per-coordinate FTRL-proximal, one coordinate at a time."""
+    import math
+
+    rng = random.Random(15)
+    rows = [sorted(rng.sample(range(60), rng.randint(0, 12))) for _ in range(200)]
+    labels = [int(bool({3, 17, 40} & set(r)) and rng.random() < 0.95) for r in rows]
+    alpha, beta, l1, l2, times = 3.0, 1.0, 8.0, 1.0, 2.0
+    often = {i for i, n in Counter(i for r in rows for i in r).items() if n >= toxicity.MIN_ROWS}
+    z, n, bias = Counter(), Counter(), -1
+
+    def weight(i):
+        cost = 0.0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= cost else -(z[i] - math.copysign(cost, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for r, y in zip(rows, labels, strict=True):
+            own = {i: weight(i) for i in [*(i for i in r if i in often), bias]}
+            g = (1 / (1 + math.exp(-sum(own.values()))) - y) * (times if y else 1.0)
+            for i, w in own.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+    flat, ends = np.array([i for r in rows for i in r], dtype=np.int32), np.cumsum([len(r) for r in rows])
+    model = toxicity.ftrl(flat, ends, np.array(labels))
+    plain = {i: weight(i) for i in often if weight(i)}
+    assert set(model.index.tolist()) == set(plain) and 3 <= len(plain) < 40
+    assert all(abs(w - plain[i]) < 1e-5 for i, w in zip(model.index.tolist(), model.weight, strict=True)) and abs(model.bias - weight(bias)) < 1e-9
+
+
 def test_licenses(spark, docs):
     """Every template, on lines of its own, wrapped, with words around and changed."""
     rng = random.Random(9)
