@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: ContextVar[list[str] | None] = ContextVar("_own", default=None)
 
 
 @cache
@@ -32,6 +36,8 @@ def scratch_path(spark: SparkSession) -> str:
     """A new path that is removed when the driver ends."""
     path = f"{scratch_root(spark)}/graphloom-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (own := _own.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -43,15 +49,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """The scratch paths given out so far, in order."""
-    return [path for _, path in _written]
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def own_tables(spark: SparkSession, cleanup: bool = True) -> Iterator[None]:
+    """Scratch tables that are made inside, by this thread, are removed at the end."""
+    token = _own.set([])
+    try:
+        yield
+    finally:
+        paths = _own.get()
+        _own.reset(token)
+        for path in paths if cleanup else []:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def discard(df: DataFrame) -> None:
