@@ -350,7 +350,7 @@ def forest_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_votes_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a trained forest's votes must be: shares that sum to 1 over all classes."""
-    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    rows = graphs.numbered_returns(spark, sf_dir)
     model = forest.fit(rows, FEATURES, "l_returnflag", "id", ntree=5, nodesize=50, seed=3)
     voted = forest.predict(model, rows, FEATURES)
     return voted.select("id", F.round(sum(F.col(c) for c in FLAGS), 9).alias("votes"), F.lit(len(model.classes)).alias("classes"))
@@ -363,18 +363,18 @@ def _nodes(model: forest.Forest, spark: SparkSession) -> DataFrame:
 
 def tree_fit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of a grown tree of depth 1 over all rows and features."""
-    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    rows = graphs.numbered_returns(spark, sf_dir)
     return _nodes(forest.fit(rows, FEATURES, "l_returnflag", "id", ntree=1, mtry=4, replace=False, sampsize=rows.count(), max_depth=1), spark)
 
 
 def tree_fit_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    rows = graphs.numbered_returns(spark, sf_dir)
     return _nodes(forest.fit(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "id", ntree=1, mtry=3, replace=False, sampsize=rows.count(), max_depth=1), spark)
 
 
 def forest_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by three features: predictions of a regression forest lie within the range of the prices."""
-    rows = materialize(graphs.numbered_returns(spark, sf_dir))
+    rows = graphs.numbered_returns(spark, sf_dir)
     model = forest.fit(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "id", ntree=5, mtry=3, nodesize=50, max_depth=5, seed=199)
     least, most = rows.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
     return forest.predict(model, rows, model.columns).select("id", F.col("prediction").between(least, most).alias("within"))

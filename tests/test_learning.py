@@ -150,3 +150,24 @@ def test_formulas(spark):
 def test_numbers_are_checked(spark, kinds):
     with pytest.raises(ValueError):
         forest.fit(frame(spark), ["a"], "y", "id", **kinds)
+
+
+@pytest.mark.parametrize("cells", [0, 600])
+@pytest.mark.parametrize("y", ["k", "y"])
+def test_growing_by_levels_splits_where_tasks_do(spark, y, cells):
+    """More values than any number of quantiles, with holes and repeated rows; at 600 cells the lower nodes go to tasks."""
+    rows = frame(spark, 900).withColumn("a", F.when(F.col("id") % 17 != 0, F.round("a", 2)))
+    rows = rows.union(rows.filter("id < 200").withColumn("id", F.col("id") + 900))
+    kinds = dict(ntree=2, mtry=2, nodesize=20, max_depth=6, seed=5, na_omit=False)
+    some, own = (forest.fit(rows, ["a", "b"], y, "id", local_cells=c, **kinds) for c in (forest.LOCAL_CELLS, cells))
+    for p, q in zip(some.trees, own.trees, strict=True):
+        assert p.feature.tolist() == q.feature.tolist() and p.left.tolist() == q.left.tolist()
+        assert np.allclose(p.threshold, q.threshold) and np.allclose(p.gain, q.gain)
+
+
+def test_the_smallest_draws_are_drawn(spark):
+    rows = spark.range(5000)
+    got = forest.bootstrap(rows, 2, 1234, replace=False, seed=1)
+    expected = rows.orderBy(forest.draw(F.col("id"), 1, 2), "id").limit(1234)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in expected.collect())
+    assert forest.bootstrap(rows, 2, 6000, replace=False).count() == 5000
