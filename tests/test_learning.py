@@ -171,3 +171,20 @@ def test_the_smallest_draws_are_drawn(spark):
     expected = rows.orderBy(forest.draw(F.col("id"), 1, 2), "id").limit(1234)
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in expected.collect())
     assert forest.bootstrap(rows, 2, 6000, replace=False).count() == 5000
+
+
+def repeated(spark, monkeypatch, y):
+    """A forest over 20 copies of each row, where only a table of different rows has few enough cells for tasks."""
+    rows = frame(spark, 200).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("r")).withColumn("id", F.col("id") * 20 + F.col("r")).drop("r")
+    monkeypatch.setattr(forest, "_fit_levels", lambda *_: pytest.fail("rows were not summed"))
+    model = forest.fit(rows, ["a", "b"], y, "id", ntree=3, nodesize=5, seed=3, local_cells=400)
+    drawn = forest._drawn(rows.select("id", y, F.array("a", "b").alias("x")).withColumnRenamed(y, "y"), range(3), None, True, 3)
+    copies = [forest.bootstrap(rows, t, seed=3).agg(F.sum("copies")).first()[0] for t in range(3)]
+    assert list(drawn.agg(*[F.sum(F.get("c", F.lit(t))) for t in range(3)]).first()) == copies
+    return forest.predict(model, rows, ["a", "b"])
+
+
+def test_repeated_rows_are_summed_for_votes(spark, monkeypatch):
+    voted = repeated(spark, monkeypatch, "k")
+    assert voted.count() == 4000 and voted.filter(F.abs(F.col("yes") + F.col("no") - 1) > 1e-9).count() == 0
+    assert voted.filter((F.col("yes") > 0.5) == (F.col("k") == "yes")).count() > 0.95 * 4000
