@@ -188,3 +188,8 @@ def test_repeated_rows_are_summed_for_votes(spark, monkeypatch):
     voted = repeated(spark, monkeypatch, "k")
     assert voted.count() == 4000 and voted.filter(F.abs(F.col("yes") + F.col("no") - 1) > 1e-9).count() == 0
     assert voted.filter((F.col("yes") > 0.5) == (F.col("k") == "yes")).count() > 0.95 * 4000
+
+
+def test_repeated_rows_are_summed_for_means(spark, monkeypatch):
+    got = repeated(spark, monkeypatch, "y").agg(F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2.0))), F.var_pop("y")).first()
+    assert got[0] < 0.1 * got[1]
