@@ -250,8 +250,9 @@ def consensus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices, adj = _indexed(graphs.embedding_graph(spark, sf_dir))
-    adj = materialize(graph.normalize_max(adj))
+    edges = materialize(graphs.embedding_graph(spark, sf_dir))
+    vertices = materialize(graph.index(edges))
+    adj = graph.normalize_max(graph.adjacency(graph.by_index(edges, vertices)))
     return _named(lp.relabel_dense(consensus.consensus(adj, vertices).labels), vertices)
 
 

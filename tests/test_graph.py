@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,16 @@ def test_scratch_tables_of_a_call_are_removed(spark, tmp_path):
     before = left()
     path = cluster_edge_lists(spark, str(tmp_path / "e.tsv"), outfile=str(tmp_path / "out"), return_table=False)
     assert left() <= before and io.read_clusters(spark, path).count() == 6
+
+
+@pytest.mark.parametrize("mode", ["cutoff", "rescaled"])
+def test_consensus_over_lists_is_that_of_joined_copies(spark, monkeypatch, mode):
+    """The same labels and rounds, with directed, parallel and zero edges, and with no copy of an edge written."""
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 500), rng.integers(0, 60, 500), rng.integers(0, 5, 500) / 4, strict=True)]
+    adj, vertices = spark.createDataFrame(rows, "src long, dst long, w double"), spark.range(64)
+    joined = consensus.consensus(adj, vertices, mode=mode, seed=2, max_rounds=12, held_labels=0)
+    monkeypatch.setattr(consensus, "propagate", lambda *_: pytest.fail("copies were written"))
+    held = consensus.consensus(adj, vertices, mode=mode, seed=2, max_rounds=12)
+    assert held.changed == joined.changed and held.converged == joined.converged
+    assert sorted(held.labels.collect()) == sorted(joined.labels.collect())
