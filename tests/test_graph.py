@@ -159,3 +159,10 @@ def test_consensus_over_lists_is_that_of_joined_copies(spark, monkeypatch, mode)
     held = consensus.consensus(adj, vertices, mode=mode, seed=2, max_rounds=12)
     assert held.changed == joined.changed and held.converged == joined.converged
     assert sorted(held.labels.collect()) == sorted(joined.labels.collect())
+
+
+def test_a_call_with_consensus_writes_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "propagate", lambda *_: pytest.fail("copies were written"))
+    found = cluster_graph(spark.createDataFrame(TRIANGLES, "src string, dst string, w double"), consensus=True).collect()
+    groups = {r["Vertex"]: r["Cluster"] for r in found}
+    assert groups["a"] == groups["b"] == groups["c"] != groups["x"] == groups["y"] == groups["z"]
