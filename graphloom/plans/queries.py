@@ -11,7 +11,7 @@ from ..functions.scalar import ACTIVATIONS, LOSSES, gini
 from ..operators import consensus, forest, graph, mlp, splits
 from ..operators import propagation as lp
 from ..sources import edges as io
-from ..sources.scratch import materialize, scratch_path
+from ..sources.scratch import discard, materialize, materialize_compact, scratch_path
 from . import graphs
 from .graphs import table
 
@@ -250,10 +250,12 @@ def consensus_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = materialize(graphs.embedding_graph(spark, sf_dir))
+    edges = materialize_compact(graphs.embedding_graph(spark, sf_dir))
     vertices = materialize(graph.index(edges))
-    adj = graph.normalize_max(graph.adjacency(graph.by_index(edges, vertices)))
-    return _named(lp.relabel_dense(consensus.consensus(adj, vertices).labels), vertices)
+    numbered = materialize_compact(graph.by_index(edges, vertices))
+    discard(edges)
+    found = consensus.consensus(graph.adjacency(numbered), vertices, scaled=True)
+    return _named(lp.relabel_dense(found.labels), vertices)
 
 
 def gini_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:

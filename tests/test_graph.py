@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from graphloom.operators import consensus, graph
 from graphloom.operators import propagation as lp
 from graphloom.plans import queries
 from graphloom.sources import edges as io
-from graphloom.sources.scratch import materialize
+from graphloom.sources.scratch import materialize, materialize_compact
 
 #: Two triangles that a weak edge joins.
 TRIANGLES = [("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.9), ("x", "y", 0.9), ("y", "z", 0.9), ("x", "z", 0.9), ("c", "x", 0.1)]
@@ -166,3 +169,33 @@ def test_a_call_with_consensus_writes_no_copies(spark, monkeypatch):
     found = cluster_graph(spark.createDataFrame(TRIANGLES, "src string, dst string, w double"), consensus=True).collect()
     groups = {r["Vertex"]: r["Cluster"] for r in found}
     assert groups["a"] == groups["b"] == groups["c"] != groups["x"] == groups["y"] == groups["z"]
+
+
+@pytest.mark.parametrize("mode", ["cutoff", "rescaled"])
+def test_lists_are_made_in_slices_and_scaled_by_their_maxima(spark, monkeypatch, mode):
+    """Slices of 40 of the 500 edges, weights divided in the lists and co-membership without rows for edges: the labels of joined copies."""
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 500), rng.integers(0, 60, 500), rng.integers(0, 5, 500) / 4, strict=True)]
+    adj, vertices = spark.createDataFrame(rows, "src long, dst long, w double"), spark.range(64)
+    joined = consensus.consensus(graph.normalize_max(adj), vertices, mode=mode, max_rounds=12, held_labels=0)
+    monkeypatch.setattr(lp, "SLICE", 40)
+    lists = lp.neighbours(adj)
+    assert sorted((r["src"], d, w) for r in lists.collect() for d, w in zip(r["dst"], r["w"], strict=True)) == sorted(rows)
+    assert len(lists.select("src").distinct().collect()) == lists.count()
+    held = consensus.consensus(adj, vertices, mode=mode, max_rounds=12, scaled=True)
+    assert held.changed == joined.changed and sorted(held.labels.collect()) == sorted(joined.labels.collect())
+
+
+def test_a_compact_table_leaves_no_shuffle_files_and_keeps_its_dictionary(spark):
+    """Numbers with six decimals take fewer than the 8 bytes of a double."""
+    w = F.round(F.rand(1) * 0.02, 6)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(".data" in f.getName() for f in map(files.getAllFiles().apply, range(files.getAllFiles().size())))
+    before = shuffles()
+    made = materialize_compact(spark.range(400_000).select((F.col("id") % 20_000).alias("v"), w.alias("w")).repartition(1))
+    deadline = time.time() + 20
+    while shuffles() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffles() <= before
+    size = sum(Path(f.removeprefix("file:")).stat().st_size for f in made.inputFiles())
+    assert made.count() == 400_000 and size < 400_000 * 6
